@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.embedding_dedup import embedding_links
+from gridloom.llm.exact_dedup import exact_groups
 from gridloom.llm.substring_dedup import remove_repeats
+from gridloom.llm.url_filter import filter_urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,8 +20,34 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return filter_urls(_table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE = {
@@ -27,9 +56,32 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
 own AS (SELECT s, min(doc_id) AS first_id FROM win GROUP BY s),
 bad AS (SELECT win.doc_id, win.i FROM win JOIN own USING (s) WHERE own.first_id < win.doc_id),
-gone AS (SELECT DISTINCT doc_id, i + k AS at FROM bad, unnest(range(0, 50)) AS t(k)),
-word AS (SELECT doc_id, at, w[at] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(at)),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS s, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id)
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM bad, unnest(range(0, 50)) AS t(k)),
+word AS (SELECT doc_id, pos, w[pos] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(pos)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS s, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT * FROM v WHERE norm > 0 AND isfinite(norm)),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id != b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+root AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM link GROUP BY x)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, root.component_id, e.vec_id = root.component_id AS kept
+FROM embeddings e JOIN root ON e.vec_id = root.x LEFT JOIN n ON e.vec_id = n.x""",
+    "op8_url_filter": r"""
+WITH rule(action, rule_host, rule_path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+cut AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+part AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fit AS (SELECT page_id, host, path, action, rule_host || rule_path AS rule, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+  FROM part LEFT JOIN rule ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fit WHERE k = 1""",
+    "op10_exact_dedup": r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS s FROM documents),
+g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY s)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.s) AS text_sha256 FROM n JOIN g USING (s)""",
 }

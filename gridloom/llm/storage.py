@@ -55,17 +55,22 @@ def ship(spark: SparkSession) -> None:
     sc._gridloom_shipped = True
 
 
-def probably_in(df: DataFrame, key, keys: DataFrame, keys_key, bits: int = 23) -> DataFrame:
-    """Rows of df whose key may be in keys: no row that is in keys is lost.
+def flag_probable(df: DataFrame, key, keys: DataFrame, keys_key, flag: str = "_probable", bits: int = 23) -> DataFrame:
+    """df with a boolean column: false only where the key is surely not in keys.
 
     A bitmap of 2**bits hash slots (1 MB at 23) is built by an aggregate and
-    broadcast, so its size is fixed whatever the input.  It only spares the
-    exact join that must follow from shuffling rows that cannot match.
+    broadcast, so its size is fixed whatever the input.  It only spares rows
+    that cannot match the shuffle of the exact join that must follow.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     bitmaps = keys.select(slot(keys_key).alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bitmap"))
-    marked = df.withColumn("_s", slot(key))
     position = F.bitmap_bit_position("_s")
     byte = F.conv(F.hex(F.substring("_bitmap", (F.shiftright(position, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.pow(F.lit(2), position.bitwiseAND(F.lit(7))).cast("int")) != 0
-    return marked.withColumn("_bucket", F.bitmap_bucket_number("_s")).join(F.broadcast(bitmaps), "_bucket").where(hit).drop("_s", "_bucket", "_bitmap")
+    marked = df.withColumn("_s", slot(key)).withColumn("_bucket", F.bitmap_bucket_number("_s"))
+    return marked.join(F.broadcast(bitmaps), "_bucket", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_s", "_bucket", "_bitmap")
+
+
+def probably_in(df: DataFrame, key, keys: DataFrame, keys_key, bits: int = 23) -> DataFrame:
+    """Rows of df whose key may be in keys: no row that is in keys is lost."""
+    return flag_probable(df, key, keys, keys_key, "_probable", bits).where("_probable").drop("_probable")
