@@ -46,7 +46,7 @@ def _pieces(vocabulary: str, capacity: int, end: int):
     def run(batches):
         code = encoder(vocabulary)
         for whole in batches:
-            for batch in by_bytes(whole, "text", 16 << 20):
+            for batch in by_bytes(whole, "text", 4 << 20):
                 ids, counts = with_end(*code.encode_column(batch.column("text")), end)
                 n = -(-counts // capacity)  # the first piece has what is over
                 of = np.repeat(np.arange(len(counts)), n)

@@ -44,7 +44,7 @@ from gridloom.llm.tokens import encoder, with_end
 
 _SHARD = pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-_STEP = 16 << 20
+_STEP = 4 << 20
 
 
 def _local(folder: str) -> str | None:

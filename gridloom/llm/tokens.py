@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MOST = 1_000_000
+_MOST = 700_000
+_CHUNK = 20_000
 
 
 class Encoder:
@@ -38,7 +39,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.begin = np.zeros(1 << 16, np.int64)
+        self.begin = np.zeros(1 << 16, np.int32)
         self.length = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
@@ -48,10 +49,14 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces, each of which stands behind a space."""
+        for a in range(0, len(pieces), _CHUNK):
+            self._add(pieces[a : a + _CHUNK])
+
+    def _add(self, pieces: list[str]) -> None:
         n = len(self.at)
         ids = self.whole([" " + " ".join(pieces)])[0]
         first = np.flatnonzero(self.opens[ids])
-        if len(first) == len(pieces) and (not len(first) or first[0] == 0):
+        if len(first) == len(pieces) and first[0] == 0:
             length = np.diff(np.append(first, len(ids)))
         else:  # a piece that holds the marker's own character, say
             parts = self.whole([" " + p for p in pieces])
@@ -84,15 +89,15 @@ class Encoder:
         if len(self.at) + len(names) > _MOST:
             self.clear()
         get = self.at.get
-        known = np.fromiter((get(p, -1) for p in names), np.int64, len(names))
+        known = np.fromiter((get(p, -1) for p in names), np.int32, len(names))
         if len(new := np.flatnonzero(known < 0)):
             known[new] = np.arange(len(self.at), len(self.at) + len(new))
             self._learn([names[i] for i in new.tolist()])
         piece = known[coded.indices.to_numpy(zero_copy_only=False)]
-        length = self.length[piece].astype(np.int64)
-        begin = self.begin[piece]
-
         heads = self.whole(flat.take(pa.array(starts)).to_pylist())
+        del parts, flat, coded, names
+        length, begin = self.length[piece], self.begin[piece]
+
         texts = column.filter(pa.array(odd)).to_pylist()
         alone = dict(zip(np.flatnonzero(odd).tolist(), self.whole(texts), strict=True)) if texts else {}
         extra, base = [], self.used
@@ -105,10 +110,12 @@ class Encoder:
             base += len(own)
             extra.append(own)
         pool = np.concatenate([self.pool[: self.used], *extra])
-        total = np.cumsum(length)
-        size = int(total[-1]) if len(total) else 0
-        ids = pool[np.arange(size) + np.repeat(begin - (total - length), length)]
-        return ids, np.add.reduceat(length, starts)
+        total = np.cumsum(length, dtype=np.int64)
+        size = int(total[-1])
+        kind = np.int32 if max(size, len(pool)) < 2**31 else np.int64
+        at = np.repeat((begin - (total - length)).astype(kind), length)
+        at += np.arange(size, dtype=kind)
+        return pool[at], np.add.reduceat(length.astype(np.int64), starts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
