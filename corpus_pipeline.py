@@ -1,14 +1,61 @@
-"""A corpus pipeline of the llm operators: each stage works on what the one before it kept."""
+"""A corpus pipeline of the llm operators: each stage works on what the one before it kept.
+
+Every stage but the last returns rows with the columns of documents; the last
+returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.llm import exact_dedup, mixing, near_dedup, packing, quality, storage
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), label="quality")
+    return quality.accepted(docs, model, threshold=0.3)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of equal texts stays, that of the smallest id."""
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id."""
+    return near_dedup.deduplicated(docs, k=5, threshold=0.8)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents appear as often as the mix of sources takes them."""
+    return mixing.mixed(docs, weights=(1, 2, 3), most=3)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, placed."""
+    import public_tokenizers
+
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL expresses neither the trees nor the alignment nor the program; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply every stage to the documents below sf_dir."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply every stage to the documents below sf_dir; each is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = storage.materialise(docs, f"stage-{k}")
     return docs

@@ -150,3 +150,17 @@ def take(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     partly = ranked.withColumn("extra", (F.col("rank") < F.col("chosen")).cast("long")).drop("rank", "_order")
     copies = F.col("times") + F.col("extra")
     return clear.unionByName(partly).select(F.col("id").alias(id), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("source").alias(source))
+
+
+def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **settings) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with all their columns.
+
+    Rows that repeat an id share what the mix takes of them: each gets the whole
+    part of the mean, and by a hash of its text some get one more.
+    """
+    taken = take(docs, id, text, source, seed=seed, **settings)
+    shares = materialise(taken.groupBy(F.col(id).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"), "copies")
+    joined = docs.join(shares, F.col(id).eqNullSafe(F.col("_key")))
+    over = F.pmod(F.xxhash64(F.lit(seed), F.col(text)), F.col("_rows")) < F.pmod(F.col("_copies"), F.col("_rows"))
+    copies = F.floor(F.col("_copies") / F.col("_rows")) + over.cast("long")
+    return joined.withColumn("_n", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))).drop("_key", "_copies", "_rows", "_n")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat
+from gridloom.llm import chat, quality
 from gridloom.llm.embedding_dedup import embedding_links
 from gridloom.llm.exact_dedup import exact_groups
 from gridloom.llm.mixing import take
+from gridloom.llm.near_dedup import near_clusters
 from gridloom.llm.packing import packed
 from gridloom.llm.substring_dedup import remove_repeats
 from gridloom.llm.token_files import read_tokens, write_tokens
@@ -25,6 +26,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50)
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_clusters(_table(spark, sf_dir, "documents"), k=5, threshold=0.8)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), label="quality")
+    return quality.scored(docs, model, threshold=0.3)
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -84,6 +95,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_order_minhash": op2_order_minhash,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_token_files": op5_token_files,
     "op6_source_mixing": op6_source_mixing,
