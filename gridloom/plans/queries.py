@@ -505,7 +505,7 @@ def pagerank_eps(spark, d):
     return pagerank(_trade(spark, d), niter=100, eps=1e-9)
 
 
-_CENTERS = np.array([[5.0, 1000.0], [20.0, 1200.0], [40.0, 1500.0]])
+_CENTERS = np.array([[5.0, 920.0], [25.0, 950.0], [45.0, 980.0]])
 _PARTS = "(SELECT row_number() OVER (ORDER BY p_partkey) AS rid, p_size::DOUBLE AS a, p_retailprice AS b FROM part)"
 
 

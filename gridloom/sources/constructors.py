@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,12 +121,10 @@ def as_darray(values, psize=None) -> DArray:
     grid = _blocks(n, p, psize)
     spark = session.current().spark
     if p >= WIDE:
-        frame = pd.DataFrame({RID: np.arange(1, n + 1), "row": list(values)})
-        return WideArray(spark.createDataFrame(frame, f"{RID} long, row array<double>"), grid)
-    frame = pd.DataFrame(values, columns=[f"c{j}" for j in range(1, p + 1)])
-    frame.insert(0, RID, np.arange(1, n + 1))
-    rows = spark.createDataFrame(frame, ", ".join([f"{RID} long", *(f"c{j} double" for j in range(1, p + 1))]))
-    return DArray(_missing(rows), grid)
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), p).cast(pa.list_(pa.float64()))
+        return WideArray(spark.createDataFrame(pa.table({RID: np.arange(1, n + 1), "row": rows})), grid)
+    rows = pa.table({RID: pa.array(np.arange(1, n + 1)), **{f"c{j}": pa.array(values[:, j - 1]) for j in range(1, p + 1)}})
+    return DArray(_missing(spark.createDataFrame(rows)), grid)
 
 
 def _missing(df: DataFrame) -> DataFrame:
@@ -140,7 +139,8 @@ def as_dframe(values: pd.DataFrame, psize=None) -> DFrame:
     values.columns = [str(c) for c in values.columns]
     frame = values.reset_index(drop=True)
     frame.insert(0, RID, np.arange(1, len(frame) + 1))
-    out = DFrame(_missing(session.current().spark.createDataFrame(frame)) if len(frame) else session.current().spark.createDataFrame([], f"{RID} long"), _blocks(*values.shape, psize), list(values.columns))
+    rows = session.current().spark.createDataFrame(pa.Table.from_pandas(frame, preserve_index=False))
+    out = DFrame(_missing(rows), _blocks(*values.shape, psize), list(values.columns))
     return out.with_rownames([str(x) for x in values.index]) if values.index.dtype == object else out
 
 
