@@ -26,9 +26,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is written: whole texts, even very long ones, must fit in memory.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ROWS = 1024
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(_ROWS, int(before)) if int(before) > 0 else _ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
