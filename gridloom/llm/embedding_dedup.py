@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.storage import materialise, ship
+from gridloom.llm.storage import materialise, ship, tidied
 
 _PACKED = pa.schema([("id", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("vector", pa.binary())])
 
@@ -155,7 +155,7 @@ def embedding_links(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("vector"))
-    packed = rows.mapInArrow(_pack, "id long, label long, dim int, vector binary").distinct()
+    packed = rows.mapInArrow(tidied(_pack), "id long, label long, dim int, vector binary").distinct()
     # a row of one id and vector is one node; so are all ids of one vector, until the end
     members = materialise(packed, "vectors")
     classes = materialise(members.groupBy("label", "dim", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "distinct-vectors")
@@ -164,7 +164,7 @@ def embedding_links(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     pivots = {}
     for dim, got in _by_dim(classes.orderBy(F.xxhash64("vector"), "id").limit(sample).select("dim", "vector").collect()).items():
         pivots[dim] = choose_pivots(unit(got), reach)
-    cells = materialise(classes.mapInArrow(_cells(pivots, reach), "label long, dim int, cell int, home boolean, id long, copies long, vector binary"), "cells")
+    cells = materialise(classes.mapInArrow(tidied(_cells(pivots, reach)), "label long, dim int, cell int, home boolean, id long, copies long, vector binary"), "cells")
     key = ["label", "dim", "cell"]
     sizes = cells.groupBy(*key).agg(F.ceil(F.sum(F.col("home").cast("int")) / block).alias("homes"), F.ceil(F.count(F.lit(1)) / block).alias("all"))
     dealt = cells.join(sizes, key)

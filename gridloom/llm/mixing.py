@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.ranking import spread_rank
-from gridloom.llm.storage import materialise, ship
+from gridloom.llm.storage import materialise, ship, tidied
 from gridloom.llm.text import Words, by_bytes
 
 _SMALL = 1 << 16
@@ -134,7 +134,7 @@ def take(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     ship(spark)
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
     key = F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit("")))
-    sized = materialise(rows.mapInArrow(_sizes, "id long, source string, size long").withColumn("key", key), "sizes")
+    sized = materialise(rows.mapInArrow(tidied(_sizes), "id long, source string, size long").withColumn("key", key), "sizes")
 
     # one row per source: their number, not the documents', bounds what the driver sees
     sources = sized.groupBy("key").agg(F.sum("size").alias("size")).orderBy("key").collect()

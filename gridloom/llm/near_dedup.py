@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.storage import materialise, probably_in, ship
+from gridloom.llm.storage import materialise, probably_in, ship, tidied
 from gridloom.llm.text import U64, Words, by_bytes, joined, mix
 
 _GREATEST = U64(2**64 - 1)
@@ -188,7 +188,7 @@ def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = materialise(texts.mapInArrow(_sketch(k, sketches), "doc_id long, content binary, n long, sketch array<long>"), "sketches")
+    table = materialise(texts.mapInArrow(tidied(_sketch(k, sketches)), "doc_id long, content binary, n long, sketch array<long>"), "sketches")
 
     known = table.where("doc_id is not null and n > 0")
     classes = materialise(known.groupBy("content").agg(F.min("doc_id").alias("doc_id")), "texts")
@@ -203,7 +203,7 @@ def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
     wanted = probably_in(texts, "doc_id", asked, "doc_id").join(asked.distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     wanted = materialise(wanted, "candidates")
     both = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), "a long, b long"), "near-links")
+    links = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_verify(threshold)), "a long, b long"), "near-links")
 
     merged = components(links)
     of = known.select("doc_id", "content").join(classes.withColumnRenamed("doc_id", "node"), "content").join(merged, "node", "left")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.ranking import spread_rank
-from gridloom.llm.storage import materialise, ship
+from gridloom.llm.storage import materialise, ship, tidied
 from gridloom.llm.text import by_bytes
 from gridloom.llm.tokens import encoder, with_end
 
@@ -186,10 +186,10 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 2048, id: str = "do
     ship(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     names = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = materialise(rows.mapInArrow(_pieces(vocabulary, capacity, end), names), "pieces")
+    pieces = materialise(rows.mapInArrow(tidied(_pieces(vocabulary, capacity, end)), names), "pieces")
     counts = np.zeros(capacity, np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         counts[length - 1] = n
     slots = spark.sparkContext.broadcast(_slots(pack(counts, capacity)))
     ranked = spread_rank(pieces.withColumn("_order", F.xxhash64("doc_id", "piece", "ids_crc32")), ["length"], "_order", ["doc_id", "piece", "ids_crc32"])
-    return ranked.select(*_PIECE.names, "rank").mapInArrow(lambda batches: _place(*slots.value)(batches), f"{names}, sequence_id long, offset long").withColumnRenamed("doc_id", id)
+    return ranked.select(*_PIECE.names, "rank").mapInArrow(tidied(lambda batches: _place(*slots.value)(batches)), f"{names}, sequence_id long, offset long").withColumnRenamed("doc_id", id)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import ship
+from gridloom.llm.storage import ship, tidied
 from gridloom.llm.text import U64, Words, by_bytes, joined, mix
 
 _CLASSES = 16
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     # at most `sample` pairs of numbers, so they can be broadcast
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInArrow(_measured, "doc_id long, label int, x array<double>").orderBy("doc_id", F.xxhash64("x")).limit(sample).toPandas()
+    got = rows.mapInArrow(tidied(_measured), "doc_id long, label int, x array<double>").orderBy("doc_id", F.xxhash64("x")).limit(sample).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
     return train(x, got["label"].to_numpy().astype(float), **settings)
 
@@ -218,7 +218,7 @@ def scored(docs: DataFrame, model: Trees, id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), held_out(F.col(id), folds).alias("held_out"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id)
+    return rows.mapInArrow(tidied(run), "id long, held_out boolean, score double, predicted int").withColumnRenamed("id", id)
 
 
 def accepted(docs: DataFrame, model: Trees, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -231,4 +231,4 @@ def accepted(docs: DataFrame, model: Trees, text: str = "text", threshold: float
                 s = model.score(statistics(batch.column(text)))
                 yield batch.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

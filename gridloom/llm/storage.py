@@ -1,42 +1,22 @@
-"""Shared storage for intermediate tables, and shipping this package to executors.
+"""Intermediate tables in shared storage, prefilters, and workers of this package.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, which every
-executor and the driver share, so that a lost executor loses nothing.  Where
-that setting is absent (tests, single machines) a folder of our own is used.
+executor and the driver share, so that a lost executor loses nothing.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{_OWN}/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return a DataFrame that reads it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from gridloom.storage import fresh_path, materialise, shared_dir
 
+__all__ = ["flag_probable", "fresh_path", "materialise", "probably_in", "shared_dir", "ship", "tidied"]
 
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application, so that they need no install of it."""
@@ -55,6 +35,27 @@ def ship(spark: SparkSession) -> None:
     sc._gridloom_shipped = True
 
 
+def tidied(stage):
+    """The stage, which gives the memory that it freed back to the system when a partition ends.
+
+    Workers live on between tasks; without this each would keep the most that
+    any stage needed, beside the JVM.
+    """
+
+    def run(batches):
+        try:
+            yield from stage(batches)
+        finally:
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def flag_probable(df: DataFrame, key, keys: DataFrame, keys_key, flag: str = "_probable", bits: int = 23) -> DataFrame:
     """df with a boolean column: false only where the key is surely not in keys.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import materialise, probably_in, ship
+from gridloom.llm.storage import materialise, probably_in, ship, tidied
 from gridloom.llm.text import U64, Words, by_bytes, joined, mix, sliding_min
 
 _PATHS = "mkey long, content long, doc_id long, fp long, start long, n long, sha binary"
@@ -145,7 +145,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = materialise(texts.mapInArrow(_paths(window, anchor), _PATHS), "paths")
+    table = materialise(texts.mapInArrow(tidied(_paths(window, anchor)), _PATHS), "paths")
     documents = table.where("n = 0").select("doc_id", "fp", F.col("start").alias("n_words"), "sha")
     paths = table.where("n > 0").drop("sha")
 
@@ -156,8 +156,8 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
 
     branching = shared.where("low < high")
     wanted = branching.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    expand = probably_in(texts, "doc_id", branching, "doc_id").mapInArrow(_with_sha, "doc_id long, fp long, text string").join(wanted, ["doc_id", "fp"])
-    edges = materialise(expand.mapInArrow(_edges(window, anchor), _EDGES), "edges")
+    expand = probably_in(texts, "doc_id", branching, "doc_id").mapInArrow(tidied(_with_sha), "doc_id long, fp long, text string").join(wanted, ["doc_id", "fp"])
+    edges = materialise(expand.mapInArrow(tidied(_edges(window, anchor)), _EDGES), "edges")
     single = _owned(edges, ["mkey", "content"])
 
     columns = ["doc_id", "fp", "start", "n", "src", "src_fp", "src_start"]
@@ -213,8 +213,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     # distinct: a document that a third of all rows copy is asked for each of its spans once
     asked = materialise(own.unionByName(source).distinct(), "asked")
     per_row = asked.groupBy("doc_id", "fp").agg(F.collect_list("x").alias("spans"))
-    rows = probably_in(texts, "doc_id", asked, "doc_id").mapInArrow(_with_sha, "doc_id long, fp long, text string").join(per_row, ["doc_id", "fp"])
-    work = materialise(rows.mapInArrow(_apply, _WORK), "applied")
+    rows = probably_in(texts, "doc_id", asked, "doc_id").mapInArrow(tidied(_with_sha), "doc_id long, fp long, text string").join(per_row, ["doc_id", "fp"])
+    work = materialise(rows.mapInArrow(tidied(_apply), _WORK), "applied")
 
     digests = work.where("n > 0").groupBy("doc_id", "fp", "start", "n").agg(F.min("digest").alias("digest"))
     theirs = digests.select(F.col("doc_id").alias("src"), F.col("fp").alias("src_fp"), F.col("start").alias("src_start"), "n", F.col("digest").alias("theirs"))

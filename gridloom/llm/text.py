@@ -107,7 +107,7 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch with about ``most`` bytes of text each; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(sizes)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import fresh_path, materialise, ship
+from gridloom.llm.storage import fresh_path, materialise, ship, tidied
 from gridloom.llm.text import by_bytes
 from gridloom.llm.tokens import encoder, with_end
 
@@ -120,7 +120,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str | None = None, id
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    shards = materialise(dealt.mapInArrow(_write(folder, vocabulary, end, dtype), "shard int, documents long, tokens long"), "shards")
+    shards = materialise(dealt.mapInArrow(tidied(_write(folder, vocabulary, end, dtype)), "shard int, documents long, tokens long"), "shards")
     # a row per shard: the prefix sum of shard sizes, in order of id
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     index = shards.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("dtype", F.lit(dtype))
@@ -133,7 +133,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     index = spark.read.schema("shard int, documents long, tokens long, base long, dtype string").parquet(f"{folder}/index")
     n = max(1, index.count())
-    return index.repartition(n, "shard").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return index.repartition(n, "shard").mapInArrow(tidied(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _read(folder: str):
