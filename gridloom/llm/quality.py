@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     got = rows.mapInArrow(tidied(_measured), "doc_id long, label int, x array<double>").orderBy("doc_id", F.xxhash64("x")).limit(sample).toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), float).reshape(len(got), -1 if len(got) else 0)
     return train(x, got["label"].to_numpy().astype(float), **settings)
 
 
