@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from gridloom.index import RID
 from gridloom.objects import DArray
+from gridloom.sources import as_darray
 
 FAMILIES = ("gaussian", "binomial", "poisson")
 #: Up to so many coefficients the normal equations are SQL sums; beyond, sums of Arrow batches.
@@ -113,10 +114,14 @@ class Glm:
     names: list[str] = field(repr=False)
     bad_rows: int = 0
 
-    def predict(self, x: DArray, type: str = "link", offset: str | None = None) -> DataFrame:
-        """__rid, value on the scale of the link or of the response."""
+    def predict(self, x: DArray | np.ndarray, type: str = "link", mask: DataFrame | None = None) -> DataFrame:
+        """__rid, value on the scale of the link or of the response; a mask (__rid, keep) leaves rows out."""
         if type not in ("link", "response"):
             raise ValueError("type is link or response")
+        if isinstance(x, np.ndarray):
+            x = as_darray(x)
+        if mask is not None:
+            x = DArray(x.df.join(mask.where("keep"), RID), x.grid, x.columns)
         names = [f"_x{k}" for k in range(len(x.columns))]
         rows = x.df.select(RID, *(v.alias(n) for v, n in zip(x.numbers(), names, strict=True)))
         eta = _eta(names, self.coefficients, F.lit(0.0))
@@ -202,8 +207,11 @@ def _aic(family: str, rows: DataFrame, deviance: float, rank: int) -> float:
     return -2 * rows.agg(F.sum(part)).first()[0] + 2 * rank
 
 
-def glm(responses: DArray, predictors: DArray, family: str = "gaussian", weights: DArray | None = None, offset: DArray | None = None, start: np.ndarray | None = None, control: Control | None = None, na_action: str = "exclude") -> Glm:
-    """Fit by Newton's method; start is 0 unless given.
+def glm(responses: DArray, predictors: DArray, family: str = "gaussian", weights: DArray | None = None, offset: DArray | None = None, start: np.ndarray | None = None, etastart: DArray | None = None, mustart: DArray | None = None, control: Control | None = None, na_action: str = "exclude") -> Glm:
+    """Fit by Newton's method; start (of the coefficients) is 0 unless given.
+
+    etastart or mustart, a column each, replace the means that the first deviance
+    and the first working responses come from.
 
     Weights other than 0 and 1, and offsets, go through working responses and
     weights.  Ends when the deviance changes by less than epsilon, relatively;
@@ -217,8 +225,8 @@ def glm(responses: DArray, predictors: DArray, family: str = "gaussian", weights
     names = list(predictors.columns) if "__y" not in predictors.columns else [f"x{k}" for k in range(len(predictors.columns))]
     df = predictors.df.select(RID, *(v.alias(n) for v, n in zip(predictors.numbers(), names, strict=True)))
     df = df.join(responses.df.select(RID, responses.numbers()[0].alias("_y")), RID)
-    for x, n, default in ((weights, "_w", 1.0), (offset, "_o", 0.0)):
-        df = df.withColumn(n, F.lit(default)) if x is None else df.join(x.df.select(RID, x.numbers()[0].alias(n)), RID)
+    for x, n, default in ((weights, "_w", 1.0), (offset, "_o", 0.0), (etastart, "_e", None), (mustart, "_m", None)):
+        df = df.withColumn(n, F.lit(default).cast("double")) if x is None else df.join(x.df.select(RID, x.numbers()[0].alias(n)), RID)
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
     good = F.lit(True)
     for c in [*names, "_y"]:
@@ -234,9 +242,9 @@ def glm(responses: DArray, predictors: DArray, family: str = "gaussian", weights
     general = offset is not None or bool(odd)
     p = len(names) + 1
     beta = np.zeros(p) if start is None else np.asarray(start, float)
-    before = df.agg(F.sum(deviance_of(family, y, _start_mu(family, y, w), w))).first()[0]
+    mu0 = _start_mu(family, y, w) if etastart is None and mustart is None else link_inverse(family, F.col("_e")) if etastart is not None else F.col("_m")
+    before = df.agg(F.sum(deviance_of(family, y, mu0, w))).first()[0]
     # working responses begin at the starting mean, too
-    mu0 = _start_mu(family, y, w)
     eta0 = mu0 if family == "gaussian" else F.log(mu0 / (1 - mu0)) if family == "binomial" else F.log(mu0)
     converged, k, dev = False, 0, before
     for k in range(1, control.maxit + 1):

@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.grid import Grid
 from gridloom.index import RID
 from gridloom.objects import DArray, SparseArray, WideArray, is_darray
+from gridloom.sources import as_darray
 
 
 @dataclass
@@ -32,8 +34,10 @@ class KMeans:
     def betweenss(self) -> float | None:
         return None if self.totss is None else self.totss - self.tot_withinss
 
-    def predict(self, x: DArray | SparseArray) -> DataFrame:
+    def predict(self, x: DArray | SparseArray | np.ndarray) -> DataFrame:
         """__rid, label (1-based)."""
+        if isinstance(x, np.ndarray):
+            x = as_darray(x)
         return assigned(x, self.centers).select(RID, "label")
 
     def fitted(self, method: str = "centers") -> DataFrame:
@@ -166,8 +170,6 @@ def kmeans(x: DArray | SparseArray, centers: int | np.ndarray, iter_max: int = 1
         raise ValueError(f"{bad} rows have values that are not finite")
     used = x
     if bad:
-        from gridloom.grid import Grid
-
         keep = good.where("good").select(RID)
         n = x.dim[0] - bad
         if isinstance(x, SparseArray):

@@ -141,6 +141,12 @@ def test_glm_with_weights_offsets_and_holes(spark):
     model = glm(as_darray(y[:, None]), as_darray(x), family="poisson", offset=as_darray(np.full((300, 1), 0.5)), weights=as_darray(w[:, None]))
     repeated, _ = irls(np.repeat(x, w.astype(int), axis=0), np.repeat(y, w.astype(int)), "poisson")
     assert np.allclose(model.coefficients, repeated - [0.5, 0], atol=1e-4)
+    started = glm(as_darray(y[:, None]), as_darray(x), family="poisson", mustart=as_darray(y[:, None] + 1), start=np.array([0.1, 0.1]))
+    assert np.allclose(started.coefficients, irls(x, y, "poisson")[0], atol=1e-6)
+    eta = started.predict(x[:3]).orderBy("__rid").collect()
+    assert np.allclose([r["value"] for r in eta], started.coefficients[0] + x[:3, 0] * started.coefficients[1])
+    mask = spark.createDataFrame([(1, True), (2, False), (3, True)], "__rid long, keep boolean")
+    assert started.predict(x[:3], mask=mask).count() == 2
     x[5] = np.nan
     hole = glm(as_darray(y[:, None]), as_darray(x), family="poisson", control=glm_control(maxit=50))
     assert hole.bad_rows == 1 and np.allclose(hole.coefficients, irls(np.delete(x, 5, 0), np.delete(y, 5), "poisson")[0], atol=1e-6)
