@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.ranking import spread_rank
 from gridloom.llm.storage import materialise, ship, tidied
-from gridloom.llm.text import by_bytes
-from gridloom.llm.tokens import encoder, with_end
+from gridloom.llm.text import gathered
+from gridloom.llm.tokens import SLICE, encoder, with_end
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -45,19 +45,18 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 def _pieces(vocabulary: str, capacity: int, end: int):
     def run(batches):
         code = encoder(vocabulary)
-        for whole in batches:
-            for batch in by_bytes(whole, "text", 4 << 20):
-                ids, counts = with_end(*code.encode_column(batch.column("text")), end)
-                n = -(-counts // capacity)  # the first piece has what is over
-                of = np.repeat(np.arange(len(counts)), n)
-                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                first = counts - (n - 1) * capacity
-                length = np.where(piece == 0, first[of], capacity)
-                start = np.where(piece == 0, 0, first[of] + (piece - 1) * capacity)
-                at = (np.cumsum(counts) - counts)[of] + start
-                view = memoryview(ids.astype("<u4")).cast("B") if len(ids) else b""
-                sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], schema=_PIECE)
+        for batch in gathered(batches, "text", SLICE):
+            ids, counts = with_end(*code.encode_column(batch.column("text")), end)
+            n = -(-counts // capacity)  # the first piece has what is over
+            of = np.repeat(np.arange(len(counts)), n)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            first = counts - (n - 1) * capacity
+            length = np.where(piece == 0, first[of], capacity)
+            start = np.where(piece == 0, 0, first[of] + (piece - 1) * capacity)
+            at = (np.cumsum(counts) - counts)[of] + start
+            view = memoryview(ids.astype("<u4")).cast("B") if len(ids) else b""
+            sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], schema=_PIECE)
 
     return run
 
@@ -115,7 +114,7 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(p, n) for group in room for p, n in group if n]
 
 
-def pack(counts: np.ndarray, capacity: int, rounds: int = 1500, step: float = 1.0, rate: float = 1.0) -> list[Pattern]:
+def pack(counts: np.ndarray, capacity: int, rounds: int = 600, step: float = 1.0, rate: float = 1.0) -> list[Pattern]:
     """(lengths, how often) so that every piece of the histogram is in one sequence."""
     counts = np.asarray(counts, np.int64)
     demand = counts.astype(float)

@@ -117,3 +117,21 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         to = max(at + 1, int(np.searchsorted(total, base + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def gathered(batches, column: str, most: int):
+    """Batches of about ``most`` bytes of text, of whole rows: small ones are put together, large ones are cut."""
+    held, size = [], 0
+    for batch in batches:
+        n = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + n > most:
+            yield from by_bytes(_together(held), column, most)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield from by_bytes(_together(held), column, most)
+
+
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)

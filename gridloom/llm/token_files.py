@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.storage import fresh_path, materialise, ship, tidied
-from gridloom.llm.text import by_bytes
-from gridloom.llm.tokens import encoder, with_end
+from gridloom.llm.text import gathered
+from gridloom.llm.tokens import SLICE, encoder, with_end
 
 _SHARD = pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -92,16 +92,15 @@ def _write(folder: str, vocabulary: str, end: int, dtype: str):
             paths = {kind: os.path.join(scratch, kind) for kind in ("ids", "offsets", "docs")}
             with open(paths["ids"], "wb") as ids_file, open(paths["offsets"], "wb") as offsets, open(paths["docs"], "wb") as docs:
                 offsets.write(np.zeros(1, "<i8").tobytes())
-                for whole in batches:
-                    for batch in by_bytes(whole, "text", _STEP):
-                        if batch.column("doc_id").null_count:
-                            raise ValueError("a document without an id cannot be filed")
-                        ids, counts = with_end(*code.encode_column(batch.column("text")), end)
-                        ids_file.write(ids.astype(dtype).tobytes())
-                        offsets.write((tokens + np.cumsum(counts)).astype("<i8").tobytes())
-                        docs.write(batch.column("doc_id").to_numpy().astype("<i8").tobytes())
-                        documents += len(batch)
-                        tokens += len(ids)
+                for batch in gathered(batches, "text", SLICE):
+                    if batch.column("doc_id").null_count:
+                        raise ValueError("a document without an id cannot be filed")
+                    ids, counts = with_end(*code.encode_column(batch.column("text")), end)
+                    ids_file.write(ids.astype(dtype).tobytes())
+                    offsets.write((tokens + np.cumsum(counts)).astype("<i8").tobytes())
+                    docs.write(batch.column("doc_id").to_numpy().astype("<i8").tobytes())
+                    documents += len(batch)
+                    tokens += len(ids)
             if documents:
                 for kind, path in paths.items():
                     _put(path, folder, f"shard-{shard:05d}.{kind}")

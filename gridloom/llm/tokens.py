@@ -4,8 +4,8 @@
 Byte-level BPE with the usual pattern never joins a character other than white
 space to a space that follows, so a text cut before such spaces has the ids of
 its pieces in a row.  Pieces repeat: each distinct one is encoded once and kept
-in a cache of ``_MOST`` entries, which is emptied when full (a bound on memory,
-not on results).  Texts with white space before a space are encoded whole.
+in an Arrow column of ``_MOST`` entries, which is emptied when full (a bound on
+memory, not on results).  Texts with white space before a space are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MOST = 700_000
+_MOST = 1_500_000
+#: Bytes of text that are encoded together.
+SLICE = 12 << 20
 _CHUNK = 20_000
 
 
@@ -35,42 +37,36 @@ class Encoder:
         self.opens = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token[0] == "Ġ"
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.begin = np.zeros(1 << 16, np.int32)
-        self.length = np.zeros(1 << 16, np.int32)
-        self.pool = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.keys = pa.array([], pa.large_string())
+        self.begin, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, self.dtype)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each of which stands behind a space."""
+    def _learn(self, pieces: pa.Array) -> None:
+        """Encode pieces, each of which stands behind a space, and keep them."""
+        begins, lengths, pools, used = [self.begin], [self.length], [self.pool], len(self.pool)
         for a in range(0, len(pieces), _CHUNK):
-            self._add(pieces[a : a + _CHUNK])
-
-    def _add(self, pieces: list[str]) -> None:
-        n = len(self.at)
-        ids = self.whole([" " + " ".join(pieces)])[0]
-        first = np.flatnonzero(self.opens[ids])
-        if len(first) == len(pieces) and first[0] == 0:
-            length = np.diff(np.append(first, len(ids)))
-        else:  # a piece that holds the marker's own character, say
-            parts = self.whole([" " + p for p in pieces])
-            length = np.array([len(p) for p in parts])
-            ids = np.concatenate(parts)
-        while len(self.begin) < n + len(pieces):
-            self.begin, self.length = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.length, np.zeros_like(self.length))
-        while len(self.pool) < self.used + len(ids):
-            self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        self.begin[n : n + len(pieces)] = self.used + np.cumsum(length) - length
-        self.length[n : n + len(pieces)] = length
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.at.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+            names = pieces.slice(a, _CHUNK).to_pylist()
+            ids = self.whole([" " + " ".join(names)])[0]
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) == len(names) and first[0] == 0:
+                length = np.diff(np.append(first, len(ids)))
+            else:  # a piece that holds the marker's own character, say
+                parts = self.whole([" " + p for p in names])
+                length = np.array([len(p) for p in parts])
+                ids = np.concatenate(parts)
+            begins.append((used + np.cumsum(length) - length).astype(np.int32))
+            lengths.append(length.astype(np.int32))
+            pools.append(ids.astype(self.dtype))
+            used += len(ids)
+        self.begin, self.length, self.pool = map(np.concatenate, (begins, lengths, pools))
+        self.keys = pa.concat_arrays([self.keys, pieces])
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and their number for each text."""
@@ -85,14 +81,15 @@ class Encoder:
         starts = np.cumsum(count) - count
         # the first piece of a text stands behind no space: those are encoded by themselves
         coded = flat.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.at) + len(names) > _MOST:
+        names = coded.dictionary
+        if len(self.keys) + len(names) > _MOST and len(self.keys) + pc.index_in(names, value_set=self.keys).null_count > _MOST:
             self.clear()
-        get = self.at.get
-        known = np.fromiter((get(p, -1) for p in names), np.int32, len(names))
-        if len(new := np.flatnonzero(known < 0)):
-            known[new] = np.arange(len(self.at), len(self.at) + len(new))
-            self._learn([names[i] for i in new.tolist()])
+        found = pc.index_in(names, value_set=self.keys)
+        known = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).copy()
+        if found.null_count:
+            new = names.filter(pc.is_null(found))
+            known[known < 0] = np.arange(len(self.keys), len(self.keys) + len(new))
+            self._learn(new)
         piece = known[coded.indices.to_numpy(zero_copy_only=False)]
         heads = self.whole(flat.take(pa.array(starts)).to_pylist())
         del parts, flat, coded, names
@@ -100,7 +97,7 @@ class Encoder:
 
         texts = column.filter(pa.array(odd)).to_pylist()
         alone = dict(zip(np.flatnonzero(odd).tolist(), self.whole(texts), strict=True)) if texts else {}
-        extra, base = [], self.used
+        extra, base = [], len(self.pool)
         for d in range(len(column)):
             a = int(starts[d])
             own = alone.get(d, heads[d])
@@ -109,13 +106,13 @@ class Encoder:
             begin[a], length[a] = base, len(own)
             base += len(own)
             extra.append(own)
-        pool = np.concatenate([self.pool[: self.used], *extra])
+        pool = np.concatenate([self.pool, *(x.astype(self.dtype) for x in extra)])
         total = np.cumsum(length, dtype=np.int64)
         size = int(total[-1])
         kind = np.int32 if max(size, len(pool)) < 2**31 else np.int64
         at = np.repeat((begin - (total - length)).astype(kind), length)
         at += np.arange(size, dtype=kind)
-        return pool[at], np.add.reduceat(length.astype(np.int64), starts)
+        return pool[at].astype(np.uint32), np.add.reduceat(length.astype(np.int64), starts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
