@@ -21,8 +21,10 @@ def with_row_index(df: DataFrame, order_by: str | list[str], name: str = RID) ->
     sizes = dict(dealt.groupBy("__range").count().collect())
     base, first = 0, []
     for k in range(n):
-        first += [F.lit(k), F.lit(base)]
+        first.append((k, base))
         base += sizes.get(k, 0)
+    # a row per partition, so it may be broadcast
+    offsets = F.broadcast(df.sparkSession.createDataFrame(first, "__range int, __base long"))
     within = Window.partitionBy("__range").orderBy(*keys)
-    offset = F.create_map(*first)[F.col("__range")]
-    return dealt.withColumn(name, (F.row_number().over(within) + offset).cast("long")).drop("__range")
+    numbered = dealt.withColumn("__row", F.row_number().over(within)).join(offsets, "__range")
+    return numbered.withColumn(name, (F.col("__row") + F.col("__base")).cast("long")).drop("__range", "__row", "__base")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from gridloom.storage import ship
+
 
 @dataclass
 class Driver:
@@ -49,6 +51,7 @@ def use_backend(name: str = "spark", *args, **settings) -> Driver:
     if name not in _REGISTRY:
         raise ValueError(f"no backend {name!r}; there are {', '.join(available_backends())}")
     _CURRENT = Driver(name, _REGISTRY[name](*args, **settings))
+    ship(_CURRENT.spark)
     return _CURRENT
 
 
@@ -56,6 +59,7 @@ def use_session(spark: SparkSession) -> Driver:
     """Take a session that runs already."""
     global _CURRENT
     _CURRENT = Driver("spark", spark)
+    ship(spark)
     return _CURRENT
 
 

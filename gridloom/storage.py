@@ -1,4 +1,4 @@
-"""Shared storage for intermediate tables that cut the lineage of loops.
+"""Shared storage for tables that cut the lineage of loops, and shipping this package.
 
 Tables are written below ``spark.checkpoint.dir``, which the driver and all
 executors share.  Where that setting is absent (tests, single machines) a folder
@@ -7,7 +7,10 @@ of our own is used.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +45,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application, so that they need no install of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(), "gridloom.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("gridloom", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._gridloom_shipped = True
