@@ -7,33 +7,14 @@ executor and the driver share, so that a lost executor loses nothing.
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.storage import fresh_path, materialise, shared_dir
+from gridloom.storage import fresh_path, materialise, shared_dir, ship
 
 __all__ = ["flag_probable", "fresh_path", "materialise", "probably_in", "shared_dir", "ship", "tidied"]
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application, so that they need no install of it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_gridloom_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(), "gridloom.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.join("gridloom", os.path.relpath(full, root)))
-    sc.addPyFile(target)
-    sc._gridloom_shipped = True
-
 
 def tidied(stage):
     """The stage, which gives the memory that it freed back to the system when a partition ends.
