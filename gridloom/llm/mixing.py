@@ -9,8 +9,10 @@ that a choice of its documents must fill:
 * documents are counted by exact length, per source;
 * every length gives the share of its documents that the budget is of the
   source, rounded down, and longest first one more while much is missing;
-* a bounded-knapsack dynamic program over the counts left fills the rest,
-  to the word where that is possible;
+* a bounded-knapsack dynamic program over the counts left fills the rest, to
+  the word where the counts left allow that;
+* what that leaves open, for want of short documents, takes documents again in
+  the same way, as long as none is taken more than ``most`` times;
 * documents of each length are taken in the order of a seeded hash.
 
 So each document is taken at most ``most`` times and reruns agree.
@@ -118,14 +120,23 @@ def _sizes(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(Words(batch.column("text")).counts())], names=["id", "source", "size"])
 
 
-def _fit(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("size")
-    whole, target = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
-    times = int(target // whole) if whole else 0
-    budget = math.floor(target - times * whole + 0.5)
-    part["times"] = times
-    part["chosen"] = fill(part["size"].to_numpy(), part["n"].to_numpy(), budget)
-    return part[["key", "size", "n", "source_size", "target", "times", "chosen"]]
+def _fit(most: int):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("size")
+        whole, target = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
+        times = int(target // whole) if whole else 0
+        budget = math.floor(target - times * whole + 0.5)
+        lengths, counts = part["size"].to_numpy(), part["n"].to_numpy()
+        levels = []
+        for _ in range(most - times):
+            # once more of each document at most; a budget that long documents leave open takes short ones again
+            levels.append(fill(lengths, counts, budget))
+            budget -= int((levels[-1] * lengths).sum())
+        part["times"] = times
+        part["levels"] = list(np.array(levels).T.tolist()) if levels else [[] for _ in range(len(part))]
+        return part[["key", "size", "n", "source_size", "target", "times", "levels"]]
+
+    return run
 
 
 def take(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
@@ -142,14 +153,14 @@ def take(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     table = spark.createDataFrame([(r["key"], r["size"], t) for r, t in zip(sources, got, strict=True)], "key string, source_size long, target double")
 
     histogram = sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")).join(table, "key")
-    plan = materialise(histogram.groupBy("key").applyInPandas(_fit, "key string, size long, n long, source_size long, target double, times long, chosen long"), "mix")
+    plan = materialise(histogram.groupBy("key").applyInPandas(_fit(most), "key string, size long, n long, source_size long, target double, times long, levels array<long>"), "mix")
 
     planned = sized.join(plan, ["key", "size"])
-    clear = planned.where("chosen = 0 or chosen = n").withColumn("extra", (F.col("chosen") > 0).cast("long"))
-    ranked = spread_rank(planned.where("chosen > 0 and chosen < n").withColumn("_order", F.xxhash64(F.lit(seed), "id")), ["key", "size"], "_order", ["id"])
-    partly = ranked.withColumn("extra", (F.col("rank") < F.col("chosen")).cast("long")).drop("rank", "_order")
-    copies = F.col("times") + F.col("extra")
-    return clear.unionByName(partly).select(F.col("id").alias(id), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("source").alias(source))
+    alike = F.forall("levels", lambda k: (k == 0) | (k == F.col("n")))
+    clear = planned.where(alike).withColumn("rank", F.lit(0).cast("long"))
+    ranked = spread_rank(planned.where(~alike).withColumn("_order", F.xxhash64(F.lit(seed), "id")), ["key", "size"], "_order", ["id"]).drop("_order")
+    copies = F.col("times") + F.size(F.filter("levels", lambda k: F.col("rank") < k))
+    return clear.unionByName(ranked).select(F.col("id").alias(id), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("source").alias(source))
 
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **settings) -> DataFrame:
