@@ -137,6 +137,7 @@ def _with_sha(batches):
 def _owned(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of which the content also starts in a smaller document, with the source's coordinates."""
     owner = rows.groupBy(*keys).agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("src_start"), F.min_by("fp", "doc_id").alias("src_fp")).where("src < last").drop("last")
+    owner = materialise(owner, "owners")  # a table, so that the join below can split a hot key
     return probably_in(rows, F.struct(*keys), owner, F.struct(*keys)).join(owner, keys).where("doc_id > src")
 
 
