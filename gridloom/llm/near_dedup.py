@@ -183,7 +183,7 @@ def _verify(threshold: float):
     return run
 
 
-def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, sketches: int = 16) -> DataFrame:
+def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, sketches: int = 32) -> DataFrame:
     """id, cluster_id (least id of the cluster), kept: one row per row of docs."""
     spark = docs.sparkSession
     ship(spark)
