@@ -20,15 +20,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = _sum(state)
     while True:
         least = state.union(state.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(least, "least")  # tables on both sides, so that the joins can split a hot node
         large = state.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         # the least neighbour of each node is linked to it, too
         large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "stars")
+        root = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "roots")
         hop = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = materialise(hop.union(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _sum(state)
         if now == seen:
-            return state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            # all that is left are stars: a node's one neighbour is its root
+            return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select("v", "v").distinct())
         seen = now
 
 
