@@ -171,7 +171,8 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     """
     taken = take(docs, id, text, source, seed=seed, **settings)
     shares = materialise(taken.groupBy(F.col(id).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"), "copies")
-    joined = docs.join(shares, F.col(id).eqNullSafe(F.col("_key")))
+    # a row per document: shuffled at every size, never broadcast
+    joined = docs.join(shares.hint("shuffle_merge"), F.col(id).eqNullSafe(F.col("_key")))
     over = F.pmod(F.xxhash64(F.lit(seed), F.col(text)), F.col("_rows")) < F.pmod(F.col("_copies"), F.col("_rows"))
     copies = F.floor(F.col("_copies") / F.col("_rows")) + over.cast("long")
     return joined.withColumn("_n", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))).drop("_key", "_copies", "_rows", "_n")
