@@ -11,11 +11,12 @@ Layout of a data set, a folder of shards in ascending order of document id:
   of tokens in all shards before it: a prefix sum over shards.
 
 Documents are range-partitioned by id, one shard per partition.  A task writes
-under a name of its own and renames at the end, so a task that is run again, or
-twice at once, leaves one whole shard.  Readers map the files into memory.
+to the folder itself, under names of its own, and renames at the end, so a task
+that is run again, or twice at once, leaves one whole shard.  Readers map the
+files into memory.
 
-Folders on a file system that is mounted (``file:`` or no scheme) are written in
-place; any other is reached through ``pyarrow.fs`` and mapped from a local copy.
+Folders of a mounted file system (``file:`` or no scheme) are mapped; any other
+is reached through ``pyarrow.fs``, and the ranges asked for are read.
 
 Defined cases.  Null texts are empty: such a document has the end id alone.
 Null ids are not allowed in a file of ids (the job fails on them).  Rows that
@@ -26,8 +27,6 @@ gives a data set without shards.  Other columns are ignored.
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
 import uuid
 import zlib
 from urllib.parse import unquote, urlsplit
@@ -44,7 +43,6 @@ from gridloom.llm.tokens import SLICE, encoder, with_end
 
 _SHARD = pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-_STEP = 4 << 20
 
 
 def _local(folder: str) -> str | None:
@@ -52,35 +50,53 @@ def _local(folder: str) -> str | None:
     return unquote(parts.path) if parts.scheme in ("", "file") else None
 
 
-def _put(source: str, folder: str, name: str) -> None:
-    """Copy a finished local file into the folder, whole or not at all."""
-    if (local := _local(folder)) is not None:
-        os.makedirs(local, exist_ok=True)
-        unfinished = os.path.join(local, f".{name}-{uuid.uuid4().hex}")
-        shutil.copyfile(source, unfinished)
-        os.replace(unfinished, os.path.join(local, name))
-        return
-    from pyarrow import fs
+class _Out:
+    """A file of the folder that appears whole, when it is finished, or not at all."""
 
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    unfinished = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with open(source, "rb") as a, store.open_output_stream(unfinished) as b:
-        shutil.copyfileobj(a, b, _STEP)
-    store.move(unfinished, f"{path}/{name}")
+    def __init__(self, folder: str, name: str):
+        self.local = _local(folder)
+        if self.local is not None:
+            os.makedirs(self.local, exist_ok=True)
+            self.path, self.last = os.path.join(self.local, f".{name}-{uuid.uuid4().hex}"), os.path.join(self.local, name)
+            self.file = open(self.path, "wb")  # noqa: SIM115
+        else:
+            from pyarrow import fs
 
+            self.store, base = fs.FileSystem.from_uri(folder)
+            self.store.create_dir(base, recursive=True)
+            self.path, self.last = f"{base}/.{name}-{uuid.uuid4().hex}", f"{base}/{name}"
+            self.file = self.store.open_output_stream(self.path)
 
-def _map(folder: str, name: str, dtype: str, scratch: str) -> np.ndarray:
-    """The file as an array that is mapped, not read."""
-    local = _local(folder)
-    path = os.path.join(local, name) if local is not None else os.path.join(scratch, name)
-    if local is None:
-        from pyarrow import fs
+    def write(self, data: bytes) -> None:
+        self.file.write(data)
 
-        store, base = fs.FileSystem.from_uri(folder)
-        with store.open_input_stream(f"{base}/{name}") as a, open(path, "wb") as b:
-            shutil.copyfileobj(a, b, _STEP)
-    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+    def end(self, keep: bool) -> None:
+        self.file.close()
+        if self.local is not None:
+            os.replace(self.path, self.last) if keep else os.remove(self.path)
+        else:
+            self.store.move(self.path, self.last) if keep else self.store.delete_file(self.path)
+
+
+class _In:
+    """Ranges of a file of the folder as arrays; of a mounted one nothing is read before it is used."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        self.dtype, local = np.dtype(dtype), _local(folder)
+        if local is not None:
+            path = os.path.join(local, name)
+            self.size = os.path.getsize(path) / self.dtype.itemsize
+            self.data = np.memmap(path, np.uint8, "r") if self.size else np.zeros(0, np.uint8)
+        else:
+            from pyarrow import fs
+
+            store, base = fs.FileSystem.from_uri(folder)
+            self.data, self.file = None, store.open_input_file(f"{base}/{name}")
+            self.size = self.file.size() / self.dtype.itemsize
+
+    def range(self, a: int, b: int) -> np.ndarray:
+        a, b = a * self.dtype.itemsize, b * self.dtype.itemsize
+        return (self.data[a:b] if self.data is not None else np.frombuffer(self.file.read_at(b - a, a), np.uint8)).view(self.dtype)
 
 
 def _write(folder: str, vocabulary: str, end: int, dtype: str):
@@ -88,23 +104,28 @@ def _write(folder: str, vocabulary: str, end: int, dtype: str):
         shard = TaskContext.get().partitionId()
         code = encoder(vocabulary)
         documents = tokens = 0
-        with tempfile.TemporaryDirectory() as scratch:
-            paths = {kind: os.path.join(scratch, kind) for kind in ("ids", "offsets", "docs")}
-            with open(paths["ids"], "wb") as ids_file, open(paths["offsets"], "wb") as offsets, open(paths["docs"], "wb") as docs:
-                offsets.write(np.zeros(1, "<i8").tobytes())
-                for batch in gathered(batches, "text", SLICE):
-                    if batch.column("doc_id").null_count:
-                        raise ValueError("a document without an id cannot be filed")
-                    ids, counts = with_end(*code.encode_column(batch.column("text")), end)
-                    ids_file.write(ids.astype(dtype).tobytes())
-                    offsets.write((tokens + np.cumsum(counts)).astype("<i8").tobytes())
-                    docs.write(batch.column("doc_id").to_numpy().astype("<i8").tobytes())
-                    documents += len(batch)
-                    tokens += len(ids)
-            if documents:
-                for kind, path in paths.items():
-                    _put(path, folder, f"shard-{shard:05d}.{kind}")
-                yield pa.RecordBatch.from_pylist([{"shard": shard, "documents": documents, "tokens": tokens}], _SHARD)
+        out: list[_Out] = []
+        try:
+            for batch in gathered(batches, "text", SLICE):
+                if batch.column("doc_id").null_count:
+                    raise ValueError("a document without an id cannot be filed")
+                if not out:
+                    out += [_Out(folder, f"shard-{shard:05d}.{kind}") for kind in ("ids", "offsets", "docs")]
+                    out[1].write(np.zeros(1, "<i8").tobytes())
+                ids, counts = with_end(*code.encode_column(batch.column("text")), end)
+                out[0].write(ids.astype(dtype).tobytes())
+                out[1].write((tokens + np.cumsum(counts)).astype("<i8").tobytes())
+                out[2].write(batch.column("doc_id").to_numpy().astype("<i8").tobytes())
+                documents += len(batch)
+                tokens += len(ids)
+        except BaseException:
+            for file in out:
+                file.end(keep=False)
+            raise
+        for file in out:
+            file.end(keep=True)
+        if documents:
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "documents": documents, "tokens": tokens}], _SHARD)
 
     return run
 
@@ -139,20 +160,17 @@ def _read(folder: str):
     def run(batches):
         for batch in batches:
             for shard in batch.to_pylist():
-                with tempfile.TemporaryDirectory() as scratch:
-                    name = f"shard-{shard['shard']:05d}"
-                    ids = _map(folder, f"{name}.ids", shard["dtype"], scratch)
-                    offsets = _map(folder, f"{name}.offsets", "<i8", scratch)
-                    docs = _map(folder, f"{name}.docs", "<i8", scratch)
-                    if len(ids) != shard["tokens"] or len(docs) != shard["documents"] or len(offsets) != len(docs) + 1:
-                        raise ValueError(f"{name} is not what its index says")
-                    for a in range(0, len(docs), 4096):
-                        b = min(a + 4096, len(docs))
-                        low = int(offsets[a])
-                        part = np.asarray(ids[low : int(offsets[b])]).astype("<u4")
-                        cut = (offsets[a : b + 1] - low).tolist()
-                        view = memoryview(part).cast("B")
-                        sums = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(docs[a:b]), pa.array(shard["base"] + offsets[a:b]), pa.array(np.diff(offsets[a : b + 1])), pa.array(sums, pa.int64())], schema=_READ)
+                name = f"shard-{shard['shard']:05d}"
+                ids, offsets, docs = _In(folder, f"{name}.ids", shard["dtype"]), _In(folder, f"{name}.offsets", "<i8"), _In(folder, f"{name}.docs", "<i8")
+                if (ids.size, docs.size, offsets.size) != (shard["tokens"], shard["documents"], shard["documents"] + 1):
+                    raise ValueError(f"{name} is not what its index says")
+                for a in range(0, shard["documents"], 4096):
+                    b = min(a + 4096, shard["documents"])
+                    at = np.asarray(offsets.range(a, b + 1))
+                    part = ids.range(int(at[0]), int(at[-1])).astype("<u4")
+                    cut = (at - at[0]).tolist()
+                    view = memoryview(part).cast("B")
+                    sums = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(docs.range(a, b))), pa.array(shard["base"] + at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())], schema=_READ)
 
     return run
