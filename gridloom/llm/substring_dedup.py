@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     rows = probably_in(texts, "doc_id", asked, "doc_id").mapInArrow(tidied(_with_sha), "doc_id long, fp long, text string").join(per_row, ["doc_id", "fp"])
     work = materialise(rows.mapInArrow(tidied(_apply), _WORK), "applied")
 
-    digests = work.where("n > 0").groupBy("doc_id", "fp", "start", "n").agg(F.min("digest").alias("digest"))
+    digests = materialise(work.where("n > 0").groupBy("doc_id", "fp", "start", "n").agg(F.min("digest").alias("digest")), "digests")
     theirs = digests.select(F.col("doc_id").alias("src"), F.col("fp").alias("src_fp"), F.col("start").alias("src_start"), "n", F.col("digest").alias("theirs"))
     wrong = spans.join(digests, ["doc_id", "fp", "start", "n"], "left").join(theirs, ["src", "src_fp", "src_start", "n"], "left").where("digest is null or theirs is null or digest != theirs")
     if not wrong.isEmpty():
