@@ -106,7 +106,7 @@ def _write(folder: str, vocabulary: str, end: int, dtype: str):
         documents = tokens = 0
         out: list[_Out] = []
         try:
-            for batch in gathered(batches, "text", SLICE):
+            for batch in gathered(batches, "text", SLICE // 2):
                 if batch.column("doc_id").null_count:
                     raise ValueError("a document without an id cannot be filed")
                 if not out:

@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MOST = 1_200_000
+_MOST = 1_500_000
 #: Bytes of text that are encoded together.
-SLICE = 6 << 20
+SLICE = 12 << 20
 _CHUNK = 20_000
 
 
