@@ -8,16 +8,20 @@
    k-mers and their order must agree.
 3. Classes meet in buckets of one sketch and one step of length (each also under
    the next step, so lengths that may still be similar always meet).  Every
-   member of a bucket is a candidate pair with the bucket's least member: as
-   many pairs as members, by aggregates that combine before the shuffle.
+   member of a bucket is first compared with the bucket's least member: as many
+   pairs as members, by aggregates that combine before the shuffle.
 4. A pair links when the alignment of its words has an edit similarity of
    1 - distance / longer length >= ``threshold``; the band of the alignment is as
    wide as that allows, so the test is exact.
-5. Linked classes are merged by connected components.
+5. Linked classes are merged by connected components.  In each bucket that still
+   holds several components every pair of members of different components is
+   compared, in blocks: by length and by counts of words, which rule out pairs
+   that cannot link, and the rest by alignment: few for each document, and again more
+   of those still apart until none is held back.  So every similar pair of a
+   bucket ends connected.
 
 A true pair is missed only where every sketch differs (0.36 to the power of
-``sketches`` at a Jaccard similarity of 0.8), or where all its buckets are led by
-a third text that one of the two is not similar to.
+``sketches`` at a Jaccard similarity of 0.8).
 
 Defined cases.  Texts without words (null, empty, white space) and rows of null
 id link with nothing; the former are their own cluster, the latter have none and
@@ -85,7 +89,16 @@ def sketches_of(words: Words, k: int, sketches: int) -> tuple[np.ndarray, np.nda
     return have, out
 
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("counted", pa.binary())])
+_BINS = 256  # of words, by hash
+_BLOCK = 512  # members of a bucket that one group of rows compares with as many others
+
+
+def _counted(words: Words) -> np.ndarray:
+    """How many words of each document fall into each bin, 255 at most: no difference of two documents grows by that."""
+    n = len(words.first) - 1
+    slot = np.repeat(np.arange(n), words.counts()) * _BINS + (mix(words.hashes()) % U64(_BINS)).astype(np.int64)
+    return np.minimum(np.bincount(slot, minlength=n * _BINS), 255).astype(np.uint8).reshape(n, _BINS)
 
 
 def _sketch(k: int, sketches: int):
@@ -103,7 +116,7 @@ def _sketch(k: int, sketches: int):
                 view = memoryview(h).cast("B") if len(h) else b""
                 # word hashes stand for the words: texts of the same words agree, others differ
                 content = [hashlib.blake2b(view[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(n), lists], schema=_SKETCHED)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(n), lists, pa.array([x.tobytes() for x in _counted(words)], pa.binary())], schema=_SKETCHED)
 
     return run
 
@@ -183,27 +196,142 @@ def _verify(threshold: float):
     return run
 
 
+def _may_link(threshold: float, limit: int):
+    """Pairs of one task, of different components, that neither length nor counts of words rule out; tasks are runs of rows.
+
+    Of a document's pairs about ``limit`` are given; ``more`` tells whether any were held back.
+    """
+
+    def pairs(batch):
+        task = batch.column("task").to_numpy()
+        doc, component, n, side = (batch.column(c).to_numpy() for c in ("doc_id", "component", "n", "side"))
+        counted = np.frombuffer(b"".join(batch.column("counted").to_pylist()), np.uint8).reshape(len(batch), _BINS)
+        begin = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+        size = np.diff(np.append(begin, len(task)))
+        crossed = np.repeat(np.minimum.reduceat(side, begin) != np.maximum.reduceat(side, begin), size)
+        partners = np.repeat(begin + size, size) - np.arange(len(task)) - 1
+        total = np.cumsum(partners)
+        at = 0
+        while at < len(task):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18), "right")))
+            left = np.repeat(np.arange(at, to), partners[at:to])
+            right = left + 1 + np.arange(len(left)) - np.repeat(total[at:to] - partners[at:to] - (total[at - 1] if at else 0), partners[at:to])
+            longer = np.maximum(n[left], n[right])
+            most = ((1 - threshold) * longer + 1e-9).astype(np.int64)
+            may = (component[left] != component[right]) & (~crossed[left] | (side[left] != side[right])) & (longer - np.minimum(n[left], n[right]) <= most)
+            left, right, most = left[may], right[may], most[may]
+            close = []
+            for k in range(0, len(left), 4096):
+                i, j = left[k : k + 4096], right[k : k + 4096]
+                more = counted[i].astype(np.int16) - counted[j]
+                bound = np.maximum(np.maximum(more, 0).sum(1, dtype=np.int64), np.maximum(-more, 0).sum(1, dtype=np.int64))
+                close.append(bound <= most[k : k + 4096])
+            close = np.concatenate(close) if close else np.zeros(0, bool)
+            left, right = left[close], right[close]
+            all_of_them = len(left)
+            for many, of in ((limit, component), (4 * limit, None)):
+                low, high = np.minimum(doc[left], doc[right]), np.maximum(doc[left], doc[right])
+                order = mix(low.astype(U64) * _C1 ^ mix(high.astype(U64)))
+                # the same partners in each bucket
+                x, y = (_first(many, mix(p.astype(U64) * _C1 ^ mix(of[q].astype(U64))) if of is not None else p, order) for p, q in ((left, right), (right, left)))
+                keep = x & y if of is not None else x | y
+                left, right = left[keep], right[keep]
+            i, j = doc[left], doc[right]
+            more = np.full(len(left), len(left) < all_of_them)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(more)], names=["a", "b", "more"])
+            at = to
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            # the last task may go on in the next batch; a task has at most about two blocks of rows
+            task = batch.column("task").to_numpy()
+            last = len(task) - int((task[::-1] != task[-1]).argmax()) if (task != task[-1]).any() else 0
+            if last:
+                yield from pairs(batch.slice(0, last))
+            held = batch.slice(last)
+        if held is not None:
+            yield from pairs(held)
+
+    return run
+
+
+def _rest(placed: DataFrame, bucket, threshold: float, limit: int) -> DataFrame:
+    """Pairs (a, b, more) that share a bucket, are of different components and may link.
+
+    Of placed: doc_id, component, n, counted.  Members of a bucket's largest
+    component are compared with the others only.
+    """
+    members = placed.select("doc_id", "component", bucket.alias("bucket"))
+    parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    live = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda c: F.ceil(c / F.lit(_BLOCK)).cast("long")
+    live = live.select("bucket", F.col("top.component").alias("top"), blocks(F.col("top.size")).alias("nt"), blocks(F.col("size") - F.col("top.size")).alias("nr"), (F.col("size") <= _BLOCK).alias("whole"))
+    live = materialise(live, "open-buckets")
+    rows = probably_in(members, "bucket", live, "bucket").join(live, "bucket")
+    is_top = F.col("component") == F.col("top")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(is_top, F.col("nt")).otherwise(F.col("nr"))))
+    key = lambda kind, i, j, side: F.struct(F.xxhash64("bucket", F.lit(kind), i, j).alias("task"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    others = F.transform(upto("nr"), lambda j: key("rest", F.least("block", j), F.greatest("block", j), F.col("block") > j))
+    tops = F.transform(upto("nt"), lambda j: key("top", F.col("block"), j, F.lit(0)))
+    from_top = F.transform(upto("nr"), lambda i: key("top", i, F.col("block"), F.lit(1)))
+    whole = F.array(key("whole", F.lit(0), F.lit(0), F.lit(0)))
+    dealt = rows.select("doc_id", F.explode(F.when(F.col("whole"), whole).when(is_top, from_top).otherwise(F.concat(others, tops))).alias("t")).select("doc_id", "t.task", "t.side")
+    dealt = materialise(dealt, "dealt")
+    dealt = dealt.join(placed.select("doc_id", "component", "n", "counted"), "doc_id").repartition("task").sortWithinPartitions("task")
+    return materialise(dealt.mapInArrow(tidied(_may_link(threshold, limit)), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "near-pairs")
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that link."""
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    wanted = probably_in(texts, "doc_id", asked, "doc_id").join(asked.distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    wanted = materialise(wanted, "candidates")
+    both = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_verify(threshold)), "a long, b long"), "near-links")
+
+
+def _first(limit: int, key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """True for the ``limit`` least of each key."""
+    at = np.lexsort((order, key))
+    begin = np.flatnonzero(np.append(True, key[at][1:] != key[at][:-1])) if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(at)))
+    out = np.empty(len(at), bool)
+    out[at] = np.arange(len(at)) - np.repeat(begin, size) < limit
+    return out
+
+
 def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, sketches: int = 32) -> DataFrame:
     """id, cluster_id (least id of the cluster), kept: one row per row of docs."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = materialise(texts.mapInArrow(tidied(_sketch(k, sketches)), "doc_id long, content binary, n long, sketch array<long>"), "sketches")
+    table = materialise(texts.mapInArrow(tidied(_sketch(k, sketches)), "doc_id long, content binary, n long, sketch array<long>, counted binary"), "sketches")
 
     known = table.where("doc_id is not null and n > 0")
     classes = materialise(known.groupBy("content").agg(F.min("doc_id").alias("doc_id")), "texts")
-    leaders = known.join(classes, ["content", "doc_id"])
+    # repeated ids may hold texts of the same words more than once
+    leaders = materialise(known.where("size(sketch) > 0").join(classes, ["content", "doc_id"]).dropDuplicates(["content", "doc_id"]), "leaders")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / threshold)))
     bucket = F.explode(F.flatten(F.transform("sketch", lambda x, i: F.array(F.xxhash64(i, x, step), F.xxhash64(i, x, step + 1)))))
-    members = leaders.where("size(sketch) > 0").select("doc_id", bucket.alias("bucket"))
+    members = leaders.select("doc_id", bucket.alias("bucket"))
     least = materialise(members.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last"), "buckets")
     pairs = materialise(probably_in(members, "bucket", least, "bucket").join(least, "bucket").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    links = _aligned(pairs, texts, threshold)
 
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    wanted = probably_in(texts, "doc_id", asked, "doc_id").join(asked.distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    wanted = materialise(wanted, "candidates")
-    both = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_verify(threshold)), "a long, b long"), "near-links")
+    limit = 4
+    while True:
+        merged = materialise(components(links), "merged")
+        placed = leaders.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        near = _rest(materialise(placed, "placed"), bucket, threshold, limit)
+        links = links.union(_aligned(near.select("a", "b"), texts, threshold))
+        if near.where("more").isEmpty():
+            break
+        limit *= 8
 
     merged = components(links)
     of = known.select("doc_id", "content").join(classes.withColumnRenamed("doc_id", "node"), "content").join(merged, "node", "left")

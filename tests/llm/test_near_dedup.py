@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from gridloom.llm import near_dedup
 from gridloom.llm.near_dedup import deduplicated, edit_distance, near_clusters, sketches_of
 from gridloom.llm.text import Words
 
@@ -103,3 +104,22 @@ def test_kept_rows_null_and_repeated_ids(docs):
     assert kept.columns == df.columns
     assert sorted((x["doc_id"] or 0) for x in kept.collect()) == [0, 0, 3, 7, 7]
     assert near_clusters(docs([])).count() == 0 and deduplicated(docs([])).count() == 0
+
+
+def test_every_similar_pair_of_a_bucket_ends_connected(docs, monkeypatch):
+    """Scattered edits of one base: pairs lie around the threshold, and few are similar to the least member."""
+    monkeypatch.setattr(near_dedup, "_BLOCK", 64, raising=False)
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = [[f"x{i}_{p}" if p in at else w for p, w in enumerate(base)] for i in range(150) for at in [set(r.sample(range(200), 23))]]
+    h = [np.array([hash(w) for w in t]) for t in texts]
+    have, sketch = sketches_of(Words(pa.array([" ".join(t) for t in texts])), 5, 32)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (sketch[i] == sketch[j]).any() and (h[i] != h[j]).sum() <= 40:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    got = {x["doc_id"]: x["cluster_id"] for x in near_clusters(docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert all(got[i] == got[root[i]] for i in got)
+    assert len(set(got.values())) <= len(set(root)) < 20
