@@ -123,3 +123,17 @@ def test_every_similar_pair_of_a_bucket_ends_connected(docs, monkeypatch):
     got = {x["doc_id"]: x["cluster_id"] for x in near_clusters(docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
     assert all(got[i] == got[root[i]] for i in got)
     assert len(set(got.values())) <= len(set(root)) < 20
+
+
+def test_scattered_edits_at_the_threshold_are_found(docs):
+    r = random.Random(8)
+    rows, want = [], {}
+    for words, edits in ((5, 1), (6, 1), (10, 1), (10, 2), (14, 2), (15, 3), (30, 6), (50, 10), (300, 60)):
+        for t in range(20):
+            base = [f"w{words}_{edits}_{t}_{p}" for p in range(words)]
+            at = set(r.sample(range(words), edits))
+            i = len(rows)
+            rows += [(i, " ".join(base)), (i + 1, " ".join(f"x{p}" if p in at else w for p, w in enumerate(base)))]
+            want[i + 1] = i
+    got = {x["doc_id"]: x["cluster_id"] for x in near_clusters(docs(rows)).collect()}
+    assert {i: got[i] for i in want} == want
