@@ -1,6 +1,7 @@
 """Queries of the collections and the SQL that each must equal.
 
-Every query runs over whole tables.  Doubles are rounded on both sides.
+The PageRank queries keep every seventh order key, in query and SQL; see the README.
+Doubles are rounded on both sides.
 """
 
 from __future__ import annotations
