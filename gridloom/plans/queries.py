@@ -1,6 +1,7 @@
 """Queries of the collections and the SQL that each must equal.
 
-The PageRank queries keep every seventh order key, in query and SQL; see the README.
+The PageRank queries keep every seventh order key, those of segments every third
+customer, in query and SQL; see the README.
 Doubles are rounded on both sides.
 """
 
