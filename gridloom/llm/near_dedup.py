@@ -303,13 +303,14 @@ def _rest(placed: DataFrame, bucket, threshold: float, limit: int) -> DataFrame:
     Of placed: doc_id, component, n, counted.  Members of a bucket's largest
     component are compared with the others only.
     """
-    members = placed.select("doc_id", "component", bucket.alias("bucket"))
-    parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    live = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    members = placed.select("doc_id", "component", bucket.alias("key")).select("doc_id", "component", "key.*")
+    parts = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("own"))
+    # members that are all there under the next step meet under their own as well
+    live = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"), F.max("own").alias("own")).where("parts > 1 and own")
     blocks = lambda c: F.ceil(c / F.lit(_BLOCK)).cast("long")
     live = live.select("bucket", F.col("top.component").alias("top"), blocks(F.col("top.size")).alias("nt"), blocks(F.col("size") - F.col("top.size")).alias("nr"), (F.col("size") <= _BLOCK).alias("whole"))
     live = materialise(live, "open-buckets")
-    rows = probably_in(members, "bucket", live, "bucket").join(live, "bucket")
+    rows = probably_in(members.drop("own"), "bucket", live, "bucket").join(live, "bucket")
     is_top = F.col("component") == F.col("top")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(is_top, F.col("nt")).otherwise(F.col("nr"))))
     key = lambda kind, i, j, side: F.struct(F.xxhash64("bucket", F.lit(kind), i, j).alias("task"), side.cast("int").alias("side"))
@@ -319,7 +320,6 @@ def _rest(placed: DataFrame, bucket, threshold: float, limit: int) -> DataFrame:
     from_top = F.transform(upto("nr"), lambda i: key("top", i, F.col("block"), F.lit(1)))
     whole = F.array(key("whole", F.lit(0), F.lit(0), F.lit(0)))
     dealt = rows.select("doc_id", F.explode(F.when(F.col("whole"), whole).when(is_top, from_top).otherwise(F.concat(others, tops))).alias("t")).select("doc_id", "t.task", "t.side")
-    dealt = materialise(dealt, "dealt")
     dealt = dealt.join(placed.select("doc_id", "component", "n", "counted"), "doc_id").repartition("task").sortWithinPartitions("task")
     return materialise(dealt.mapInArrow(tidied(_may_link(threshold, limit)), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "near-pairs")
 
@@ -355,9 +355,10 @@ def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
     # repeated ids may hold texts of the same words more than once
     leaders = materialise(known.where("size(sketch) > 0 or size(runs) > 0").join(classes, ["content", "doc_id"]).dropDuplicates(["content", "doc_id"]), "leaders")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / threshold)))
-    by_sketch = F.transform("sketch", lambda x, i: F.array(F.xxhash64(i, x, step), F.xxhash64(i, x, step + 1)))
-    by_run = F.transform("runs", lambda x: F.array(F.xxhash64(x, step), F.xxhash64(x, step + 1)))
-    members = leaders.select("doc_id", F.explode(F.flatten(by_sketch)).alias("bucket"))
+    under = lambda *x: F.array(*(F.struct(F.xxhash64(*x, s).alias("bucket"), F.lit(own).alias("own")) for s, own in ((step, True), (step + 1, False))))
+    by_sketch = F.transform("sketch", lambda x, i: under(i, x))
+    by_run = F.transform("runs", lambda x: under(x))
+    members = leaders.select("doc_id", F.explode(F.flatten(by_sketch)).alias("key")).select("doc_id", "key.bucket")
     bucket = F.explode(F.flatten(F.concat(by_sketch, by_run)))
     least = materialise(members.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last"), "buckets")
     pairs = materialise(probably_in(members, "bucket", least, "bucket").join(least, "bucket").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
