@@ -5,12 +5,12 @@ Byte-level BPE with the usual pattern never joins a character other than white
 space to a space that follows, so a text cut before such spaces has the ids of
 its pieces in a row.  Pieces repeat: each distinct one is encoded once and kept
 in an Arrow column of ``_MOST`` entries, which is emptied when full (a bound on
-memory, not on results).  Texts with white space before a space are encoded whole.
+memory, not on results).  Texts with white space before a space, or with one of
+the vocabulary's added tokens (``<|endoftext|>``, say), are encoded whole.
 """
 
 from __future__ import annotations
 
-import json
 import os
 
 import numpy as np
@@ -28,10 +28,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        spec["added_tokens"] = []  # the strings of special tokens in a text are ordinary text
-        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         size = self.tokenizer.get_vocab_size()
         # ids whose text begins with a space: where a joined string's pieces begin
         self.opens = np.zeros(size, bool)
@@ -75,6 +73,8 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         odd = pc.match_substring_regex(column, r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x1c-\x1f] ").to_numpy(zero_copy_only=False)
         odd |= pc.equal(column, "").to_numpy(zero_copy_only=False)
+        for token in self.added:
+            odd |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
         parts = pc.split_pattern(column, " ")
         count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = parts.flatten()

@@ -10,17 +10,16 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 from gridloom.llm import tokens  # noqa: E402
-from gridloom.llm.packing import best_fit, pack, packed  # noqa: E402
+from gridloom.llm.packing import pack, packed, solve  # noqa: E402
 from gridloom.llm.token_files import _local, read_tokens, write_tokens  # noqa: E402
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", None, " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "Ġx Ġ", "don't stop", "x<|endoftext|> y", "  z", "tab\t b", "a\u00a0 b", "x\u2003 y", "é è  ê\n\n z ", "a\x1c b", "\x85 b q", "日本 語 です", "a" * 50_000, "word " * 20_000]
+ODD = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|> <|endoftext", "|> x <| endoftext |>", "", None, " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "Ġx Ġ", "don't stop", "x<|endoftext|> y", "  z", "tab\t b", "a\u00a0 b", "x\u2003 y", "é è  ê\n\n z ", "a\x1c b", "\x85 b q", "日本 語 です", "a" * 50_000, "word " * 20_000]
 
 
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -122,6 +121,33 @@ def test_packing_odd_tables(docs):
     assert sorted(r["offset"] for r in got) == sorted({r["offset"] for r in got})
 
 
+def best_fit(counts: np.ndarray, capacity: int) -> list:
+    """Best fit decreasing over a histogram: equal pieces and equal sequences move together."""
+    room: list[list[list]] = [[] for _ in range(capacity + 1)]
+    open_at = np.zeros(capacity + 1, bool)
+    for length in range(capacity, 0, -1):
+        left = int(counts[length - 1])
+        while left:
+            at = int(open_at[length:].argmax()) + length
+            if open_at[at]:
+                pattern, n = room[at][-1]
+                used = min(n, left)
+                room[at][-1][1] -= used
+                if room[at][-1][1] == 0:
+                    room[at].pop()
+                    open_at[at] = bool(room[at])
+                room[at - length].append([(*pattern, length), used])
+                open_at[at - length] = True
+                left -= used
+            else:
+                each = capacity // length
+                n, per = (left // each, each) if left >= each else (1, left)
+                room[capacity - per * length].append([(length,) * per, n])
+                open_at[capacity - per * length] = True
+                left -= n * per
+    return [(p, n) for group in room for p, n in group if n]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_the_program_is_near_the_bound_and_not_worse_than_best_fit(seed):
     rng = np.random.default_rng(seed)
@@ -145,3 +171,54 @@ def test_hot_lengths_keep_the_table_of_patterns_small():
     counts[[63, 31, 15, 4]] = [10**9, 10**9, 3 * 10**8, 7]
     patterns = pack(counts, 64)
     assert len(patterns) < 30 and sum(n for _, n in patterns) >= 15 * 10**8
+
+
+def optimum(lengths, capacity):
+    """The least number of sequences, by trying all of them."""
+    lengths, least = sorted(lengths, reverse=True), len(lengths)
+
+    def place(k, rooms):
+        nonlocal least
+        if len(rooms) >= least:
+            return
+        if k == len(lengths):
+            least = len(rooms)
+            return
+        for room in {r for r in rooms if r >= lengths[k]}:
+            at = rooms.index(room)
+            place(k + 1, [*rooms[:at], room - lengths[k], *rooms[at + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return least
+
+
+def test_small_cases_are_optimal():
+    for seed in range(150):
+        rng = np.random.default_rng(seed)
+        capacity = int(rng.choice([12, 20, 50, 100]))
+        lengths = rng.integers(int(rng.integers(1, max(2, capacity // 3))), capacity + 1 if seed % 2 else capacity // 2 + 2, int(rng.integers(1, 12))).clip(1, capacity)
+        program = solve(np.bincount(lengths, minlength=capacity + 1)[1:], capacity)
+        assert program.sequences == (best := optimum(lengths.tolist(), capacity))
+        assert program.bound <= min(best, program.value) + 1e-6
+
+
+@pytest.mark.parametrize(("lengths", "most", "gap"), [([683, 682, 690, 500, 341, 1024, 1025], 0.975, 0.04), (range(300, 901), 0.99, 0.02), (range(600, 1100), 0.985, 0.085), (range(1, 400), 1.0, 0.0005)])
+def test_the_program_beats_best_fit_where_pieces_are_large(lengths, most, gap):
+    counts = np.bincount(np.random.default_rng(0).choice(list(lengths), 20_000), minlength=2049)[1:]
+    program = solve(counts, 2048)
+    assert program.sequences <= most * sum(n for _, n in best_fit(counts, 2048)) and program.gap <= gap
+    assert program.bound - 1e-6 <= program.value <= program.sequences + 1e-6 and program.sequences <= program.value + 10
+
+
+def test_the_histograms_of_the_tables_pack_to_the_bound():
+    import pyarrow.dataset as ds
+
+    code = tokens.Encoder(VOCABULARY)
+    for sf, near in (("sf0.001", 0), ("sf0.01", 0), ("sf0.1", 1)):
+        text = ds.dataset(f"/root/testdata/{sf}/documents.parquet").to_table(columns=["text"]).column("text").combine_chunks()
+        n = code.encode_column(text)[1] + 1
+        pieces = np.concatenate([(n - 1) % 2048 + 1, np.full(int(((n - 1) // 2048).sum()), 2048)])
+        program = solve(np.bincount(pieces, minlength=2049)[1:], 2048)
+        assert program.sequences <= -(-int(pieces.sum()) // 2048) + near
+        assert program.sequences <= sum(k for _, k in best_fit(np.bincount(pieces, minlength=2049)[1:], 2048))
