@@ -4,7 +4,26 @@ import re
 import numpy as np
 import pytest
 
-from gridloom.llm.mixing import fill, mixed, take, targets
+from gridloom.llm.mixing import fill, mixed, take
+
+
+def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
+    """Shares of sum(sizes) by weight, none above most times its size."""
+    out = [0.0] * len(sizes)
+    free = list(range(len(sizes)))
+    left = float(sum(sizes))
+    while free:
+        total = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / total > most * sizes[i]]
+        if not over:
+            for i in free:
+                out[i] = left * weights[i] / total
+            break
+        for i in over:
+            out[i] = float(most * sizes[i])
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in set(over)]
+    return out
 
 
 def size(text):
@@ -56,13 +75,35 @@ def test_budgets_are_filled_to_the_word_where_that_is_possible(seed):
     budget = int(rng.integers(0, (lengths * counts).sum() + 5))
     got = fill(lengths, counts, budget)
     assert (got >= 0).all() and (got <= counts).all()
-    base = [int(c) * budget // int((lengths * counts).sum()) for c in counts] if budget < (lengths * counts).sum() else counts
-    reachable = {int((lengths * base).sum())}
-    for length, n in zip(lengths, counts - np.array(base), strict=True):
+    reachable = {0}
+    for length, n in zip(lengths, counts, strict=True):
         reachable = {s + k * int(length) for s in reachable for k in range(int(n) + 1)}
     assert int((got * lengths).sum()) == max(s for s in reachable if s <= budget)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_long_documents_fill_a_budget_as_well_as_any_choice(seed):
+    """Lengths beyond a million words against all sums there are."""
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(np.append(rng.integers(1_000_000, 4_000_000, 5), rng.integers(1, 9, 1)))
+    counts = rng.integers(1, 4, len(lengths))
+    budget = int(rng.integers(1, (lengths * counts).sum()))
+    got = fill(lengths, counts, budget)
+    reachable = {0}
+    for length, n in zip(lengths, counts, strict=True):
+        reachable = {s + k * int(length) for s in reachable for k in range(int(n) + 1)}
+    assert (got >= 0).all() and (got <= counts).all() and int((got * lengths).sum()) == max(s for s in reachable if s <= budget)
+
+
+@pytest.mark.parametrize(
+    ("lengths", "counts", "budget", "best"),
+    [([4000001, 2999999], [2, 2], 2999999, 2999999), ([2500003, 1700001, 5], [2, 2, 1], 4200004, 4200004), ([3000001, 3000000], [2, 2], 3000001, 3000001), ([70000, 69999, 3], [10**6, 10**6, 1], 7 * 10**9 + 139999, 7 * 10**9 + 139999), ([10, 20], [10**9, 10**9], 10**9 + 7, 10**9)],
+)
+def test_budgets_that_long_documents_meet(lengths, counts, budget, best):
+    got = fill(np.array(lengths), np.array(counts), budget)
+    assert (got <= counts).all() and sum(int(a) * b for a, b in zip(got, lengths, strict=True)) == best
+
+
 def test_huge_lengths_and_counts():
     lengths, counts = np.array([1, 7, 10**6, 3 * 10**8]), np.array([10**12, 10**10, 5, 3])
     total = int((lengths * counts).sum())
