@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.storage import materialise, probably_in, ship, tidied
+from gridloom.llm.storage import flag_probable, forget, materialise, probably_in, ship, tidied
 from gridloom.llm.text import U64, Words, by_bytes, joined, mix
 
 _GREATEST = U64(2**64 - 1)
@@ -57,13 +57,23 @@ _C1, _C2 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 def _labelled(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Hashes that tell the occurrences of one k-mer in a document apart."""
-    order = np.argsort(mix(h ^ mix(of.astype(U64) + U64(1))), kind="stable")
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
-    run = np.flatnonzero(new)
-    occurrence = np.empty(len(h), U64)
-    occurrence[order] = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
-    return mix(h ^ mix(occurrence + _C2))
+    out = mix(h ^ mix(np.array([_C2])))
+    key = mix(h ^ mix(of.astype(U64) + U64(1)))
+    ordered = np.sort(key)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(again):
+        return out
+    # few k-mers repeat: only those, found by their upper bits first, are put in order of their occurrences
+    seen = np.zeros(1 << 20, bool)
+    seen[(again >> U64(44)).astype(np.int64)] = True
+    rows = np.flatnonzero(seen[(key >> U64(44)).astype(np.int64)])
+    at = np.searchsorted(again, key[rows])
+    rows = rows[again[np.minimum(at, len(again) - 1)] == key[rows]]
+    rows = rows[np.argsort(key[rows], kind="stable")]
+    run = np.flatnonzero(np.append(True, key[rows][1:] != key[rows][:-1]))
+    occurrence = np.arange(len(rows)) - np.repeat(run, np.diff(np.append(run, len(rows))))
+    out[rows] = mix(h[rows] ^ mix(occurrence.astype(U64) + _C2))
+    return out
 
 
 def sketches_of(words: Words, k: int, sketches: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +93,22 @@ def sketches_of(words: Words, k: int, sketches: int) -> tuple[np.ndarray, np.nda
     out = np.empty((len(have), sketches), U64)
     if not len(have):
         return have, out
+    # the lower bits of a value say where it stands, so that a minimum needs no search
+    bits = U64(24 if len(labelled) < 1 << 24 else 40)
+    place = np.arange(len(labelled)).astype(U64)
+    where = (U64(1) << bits) - U64(1)
+    v = np.empty(len(labelled), U64)
     for s in range(sketches):
-        v = mix(labelled ^ mix(np.array([s + 1], U64) * _C1))
-        low = np.minimum.reduceat(v, begin)
-        at = np.flatnonzero(v == np.repeat(low, count))
-        first = at[np.searchsorted(at, begin)]
+        # labelled hashes are mixed already: an odd factor, whose upper bits depend on all of them, orders them anew
+        np.multiply(labelled, mix(np.array([s + 1], U64) * _C1) | U64(1), out=v)
+        v &= ~where
+        v |= place
+        first = (np.minimum.reduceat(v, begin) & where).astype(np.int64)
         v[first] = _GREATEST
-        second_low = np.minimum.reduceat(v, begin)
-        at = np.flatnonzero(v == np.repeat(second_low, count))
-        second = at[np.searchsorted(at, begin)]
-        forward = first <= second
-        out[:, s] = mix(np.where(forward, low, second_low) * _C1 + mix(np.where(forward, second_low, low)))
+        second = np.minimum.reduceat(v, begin)
+        second = np.where(second == _GREATEST, first, (second & where).astype(np.int64))
+        low, high = np.minimum(first, second), np.maximum(first, second)
+        out[:, s] = mix(labelled[low] * _C1 + mix(labelled[high]))
     return have, out
 
 
@@ -122,7 +137,7 @@ def runs_of(words: Words, k: int, threshold: float, short: int) -> tuple[np.ndar
 
 _SKETCHED = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64())), ("counted", pa.binary())])
 _BINS = 256  # of words, by hash
-_BLOCK = 512  # members of a bucket that one group of rows compares with as many others
+_BLOCK = 2048  # members of a bucket that one group of rows compares with as many others
 
 
 def _counted(words: Words) -> np.ndarray:
@@ -305,19 +320,26 @@ def _may_link(threshold: float, limit: int):
     return run
 
 
-def _rest(placed: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Pairs (a, b, more) that share a bucket, are of different components and may link.
-
-    Of placed: doc_id, component, n, sketch, fine, counted.  Members of a bucket's
-    largest component are compared with the others only.
-    """
+def _open(placed: DataFrame) -> DataFrame:
+    """bucket, doc_id of the buckets that hold several components."""
     members = placed.select("doc_id", "component", F.explode(F.concat("sketch", "fine")).alias("bucket"))
     # most buckets hold one component: partial aggregates tell, whatever the size of a bucket
-    open_ = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = materialise(open_, "open-buckets")
-    rows = materialise(probably_in(members, "bucket", open_, "bucket").join(open_, "bucket"), "open-members")
+    found = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    found = materialise(found, "open-buckets")
+    rows = materialise(probably_in(members, "bucket", found, "bucket").join(found, "bucket").select("bucket", "doc_id"), "open-members")
+    forget(found)
+    return rows
+
+
+def _rest(members: DataFrame, placed: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Pairs (a, b, more) of members that share a bucket, are of different components and may link.
+
+    Of members: bucket, doc_id; of placed: doc_id, component, n, counted.  Members of
+    a bucket's largest component are compared with the others only.
+    """
+    rows = members.join(placed.select("doc_id", "component"), "doc_id")
     parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    live = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"))
+    live = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda c: F.ceil(c / F.lit(_BLOCK)).cast("long")
     live = materialise(live.select("bucket", F.col("top.component").alias("top"), blocks(F.col("top.size")).alias("nt"), blocks(F.col("size") - F.col("top.size")).alias("nr"), (F.col("size") <= _BLOCK).alias("whole")), "open-sizes")
     rows = rows.join(live, "bucket")
@@ -331,16 +353,28 @@ def _rest(placed: DataFrame, threshold: float, limit: int) -> DataFrame:
     whole = F.array(key("whole", F.lit(0), F.lit(0), F.lit(0)))
     dealt = rows.select("doc_id", F.explode(F.when(F.col("whole"), whole).when(is_top, from_top).otherwise(F.concat(others, tops))).alias("t")).select("doc_id", "t.task", "t.side")
     dealt = dealt.join(placed.select("doc_id", "component", "n", "counted"), "doc_id").repartition("task").sortWithinPartitions("task")
-    return materialise(dealt.mapInArrow(tidied(_may_link(threshold, limit)), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "near-pairs")
+    near = materialise(dealt.mapInArrow(tidied(_may_link(threshold, limit)), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "near-pairs")
+    forget(live)
+    return near
+
+
+def _placed(leaders: DataFrame, merged: DataFrame) -> DataFrame:
+    """The leaders with their component: only those that may have one are shuffled."""
+    marked = flag_probable(leaders, "doc_id", merged, "node")
+    alone = marked.where("not _probable").withColumn("component", F.col("doc_id"))
+    met = marked.where("_probable").join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    return alone.unionByName(met).drop("_probable")
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that link."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
     wanted = probably_in(texts, "doc_id", asked, "doc_id").join(asked.distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    wanted = materialise(wanted, "candidates")
-    both = pairs.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_verify(threshold)), "a long, b long"), "near-links")
+    wanted = materialise(wanted, "candidates")  # each text is read once, and shuffled to its pairs
+    both = pairs.select("a", "b").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    links = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_verify(threshold)), "a long, b long"), "near-links")
+    forget(wanted)
+    return links
 
 
 def _first(limit: int, key: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -361,9 +395,12 @@ def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
     table = materialise(texts.mapInArrow(tidied(_sketch(k, sketches, fine_k, fine, threshold, short)), "doc_id long, content binary, n long, sketch array<long>, fine array<long>, counted binary"), "sketches")
 
     known = table.where("doc_id is not null and n > 0")
-    classes = materialise(known.groupBy("content").agg(F.min("doc_id").alias("doc_id")), "texts")
-    # repeated ids may hold texts of the same words more than once
-    leaders = materialise(known.where(F.col("n") >= k).join(classes, ["content", "doc_id"]).dropDuplicates(["content", "doc_id"]), "leaders")
+    classes = materialise(known.groupBy("content").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")), "texts")
+    # repeated ids may hold texts of the same words more than once; rows of other texts stay where they are
+    several = materialise(classes.where("rows > 1").select("content", "node"), "shared-texts")
+    marked = flag_probable(known.where(F.col("n") >= k), "content", several, "content")
+    shared = marked.where("_probable").join(several, "content", "left").where("node is null or node = doc_id").dropDuplicates(["content", "doc_id"])
+    leaders = materialise(marked.where("not _probable").unionByName(shared.drop("node")).drop("_probable", "content"), "leaders")
     members = leaders.select("doc_id", "n", F.explode("sketch").alias("bucket"))
     least = members.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").alias("a"), F.col("n").alias("n_a"))).alias("least"), F.max("doc_id").alias("last")).where("least.a < last")
     least = materialise(least.select("bucket", "least.*"), "buckets")
@@ -371,19 +408,26 @@ def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
     alike = F.least("n", "n_a") >= F.greatest("n", "n_a") * threshold - 1e-9
     pairs = materialise(pairs.where(alike).select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
     links = _aligned(pairs, texts, threshold)
+    forget(least, pairs, several)
 
-    limit = 4
+    merged, limit, open_ = materialise(components(links), "merged"), 8, None
     while True:
-        merged = materialise(components(links), "merged")
-        placed = leaders.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        near = _rest(materialise(placed, "placed"), threshold, limit)
-        links = links.union(_aligned(near.select("a", "b"), texts, threshold))
-        if near.where("more").isEmpty():
+        placed = materialise(_placed(leaders, merged), "placed")
+        open_ = _open(placed) if open_ is None else open_  # components only grow: no other bucket opens
+        near = _rest(open_, placed, threshold, limit)
+        more = not near.where("more").isEmpty()
+        found = _aligned(near, texts, threshold)
+        forget(near, placed)
+        if not found.isEmpty():
+            links = links.union(found)
+            forget(merged)
+            merged = materialise(components(links), "merged")
+        if not more:
             break
-        limit *= 8
+        limit *= 32
+    forget(open_, leaders)
 
-    merged = components(links)
-    of = known.select("doc_id", "content").join(classes.withColumnRenamed("doc_id", "node"), "content").join(merged, "node", "left")
+    of = known.select("doc_id", "content").join(classes.select("content", "node"), "content").join(merged, "node", "left")
     cluster = of.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("cluster"))
     return table.select("doc_id").join(cluster, "doc_id", "left").select(
         F.col("doc_id").alias(id), F.coalesce("cluster", "doc_id").alias("cluster_id"), F.col("doc_id").eqNullSafe(F.coalesce("cluster", "doc_id")).alias("kept")

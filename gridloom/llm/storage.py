@@ -11,9 +11,9 @@ import ctypes
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.storage import fresh_path, materialise, shared_dir, ship
+from gridloom.storage import forget, fresh_path, materialise, shared_dir, ship
 
-__all__ = ["flag_probable", "fresh_path", "materialise", "probably_in", "shared_dir", "ship", "tidied"]
+__all__ = ["flag_probable", "forget", "fresh_path", "materialise", "probably_in", "shared_dir", "ship", "tidied"]
 
 
 def tidied(stage):
@@ -37,13 +37,25 @@ def tidied(stage):
     return run
 
 
-def flag_probable(df: DataFrame, key, keys: DataFrame, keys_key, flag: str = "_probable", bits: int = 23) -> DataFrame:
+#: A bitmap has 2 to the power of these many slots, at least and at most: 64 MB at 29.
+_LEAST_BITS, _MOST_BITS = 16, 29
+
+
+def _bits(keys: DataFrame) -> int:
+    """About eight slots for each key; a table's own rows are counted from its footers."""
+    if not hasattr(keys, "_gridloom_path"):
+        return 23
+    return min(_MOST_BITS, max(_LEAST_BITS, keys.count().bit_length() + 3))
+
+
+def flag_probable(df: DataFrame, key, keys: DataFrame, keys_key, flag: str = "_probable", bits: int | None = None) -> DataFrame:
     """df with a boolean column: false only where the key is surely not in keys.
 
-    A bitmap of 2**bits hash slots (1 MB at 23) is built by an aggregate and
-    broadcast, so its size is fixed whatever the input.  It only spares rows
-    that cannot match the shuffle of the exact join that must follow.
+    A bitmap of 2**bits hash slots (by the number of keys, 64 MB at most) is built
+    by an aggregate and broadcast.  It only spares rows that cannot match the
+    shuffle of the exact join that must follow.
     """
+    bits = bits or _bits(keys)
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     bitmaps = keys.select(slot(keys_key).alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bitmap"))
     position = F.bitmap_bit_position("_s")
@@ -53,6 +65,6 @@ def flag_probable(df: DataFrame, key, keys: DataFrame, keys_key, flag: str = "_p
     return marked.join(F.broadcast(bitmaps), "_bucket", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_s", "_bucket", "_bitmap")
 
 
-def probably_in(df: DataFrame, key, keys: DataFrame, keys_key, bits: int = 23) -> DataFrame:
+def probably_in(df: DataFrame, key, keys: DataFrame, keys_key, bits: int | None = None) -> DataFrame:
     """Rows of df whose key may be in keys: no row that is in keys is lost."""
     return flag_probable(df, key, keys, keys_key, "_probable", bits).where("_probable").drop("_probable")
