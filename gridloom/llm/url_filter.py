@@ -9,7 +9,12 @@ together) wins; then the longer host; then block before allow.
 Defined cases.  A null URL or one without ``://`` has empty host and path and
 the default verdict.  Repeated rows and null ids each return their row.  Rules
 of null host or path are ignored, repeated ones count once; with no rules at
-all every URL gets the default.  Other columns are ignored.
+all every URL gets the default.  Very long URLs are used whole.  An empty table
+gives an empty result.  Other columns are ignored.
+
+The verdicts of distinct URLs are a table when pages meet them, so that the join
+can split a URL that many pages have; pages without a host are spread over all
+tasks, since none of them can meet a verdict.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.storage import materialise
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,6 +47,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id: str = "page_id", url: st
     """id, host, path, rule, verdict: one row per page.  rules: verdict, host, path."""
     host, path = split_url(url)
     rows = pages.select(F.col(id).alias("_id"), host.alias("_h"), path.alias("_p"))
+    # no host holds a slash
+    rows = rows.withColumn("_key", F.when(F.col("_h") == "", F.concat(F.lit("/"), F.xxhash64("_id", F.col("_p"), F.monotonically_increasing_id()).cast("string"))).otherwise(F.col("_h")))
 
     known = rules.select(F.col("verdict").alias("_verdict"), F.translate("host", _UPPER, _LOWER).alias("_host"), F.col("path").alias("_path")).where("_host is not null and _path is not null")
     known = _hashed(known.groupBy("_host", "_path").agg(F.max("_verdict").alias("_verdict")), prefix_bytes)
@@ -56,7 +65,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id: str = "page_id", url: st
     right = known.withColumnsRenamed({"_host": "_rule_host", "_path": "_rule_path", "_digest": "_rule_digest"})
     fits = left.join(right, "_short").where(F.col("_digest") == F.col("_rule_digest"))
     rank = F.struct(F.length("_rule_host") + F.length("_rule_path"), F.length("_rule_host"), F.col("_verdict"), F.concat("_rule_host", "_rule_path").alias("rule"))
-    best = fits.groupBy("_h", "_p").agg(F.max(rank).alias("_best"))
-    return rows.join(best, ["_h", "_p"], "left").select(
+    best = materialise(fits.groupBy("_h", "_p").agg(F.max(rank).alias("_best")).withColumnRenamed("_h", "_key"), "verdicts")
+    return rows.join(best, ["_key", "_p"], "left").select(
         F.col("_id").alias(id), F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best._verdict"), F.lit(default)).alias("verdict")
     )

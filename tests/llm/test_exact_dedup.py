@@ -37,6 +37,30 @@ def test_digests_that_collide_do_not_merge_texts(docs):
     check(docs(rows).repartition(5), rows, digest=lambda c: sha256(F.substring(c, 1, 1)))
 
 
+def test_texts_of_one_key_are_told_apart(docs):
+    """Digest and checksum of one value: only the texts of one length tell their rows apart."""
+    rows = corpus() + [(1000 + k, t) for k, t in enumerate(["ab", "cd", "ab", "ef", "c\td", "c d"])]
+    check(docs(rows).repartition(5), rows, digest=lambda c: sha256(F.lit("")), check=lambda c: F.lit(7).cast("long"))
+    kept = deduplicated(docs(rows), digest=lambda c: sha256(F.lit("")), check=lambda c: F.lit(7).cast("long"))
+    assert kept.columns == docs(rows).columns
+
+
+def test_a_hot_text_is_split(spark, docs):
+    """With broadcasts off, the join of rows and classes deals out a text that half of all rows have."""
+    rows = [(i, "same text" if i % 2 else f"own {i}") for i in range(6000)]
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = exact_groups(docs(rows).repartition(16))
+        assert len(got.collect()) == 6000
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_a_hot_text_and_few_salts(docs):
     rows = [(i, "same  text" if i % 3 else f"own {i}") for i in range(600)]
     check(docs(rows).repartition(16), rows, salts=2)

@@ -46,3 +46,20 @@ def test_no_rules_no_pages_repeats_and_null_ids(spark):
     assert filter_urls(pages.limit(0), rules).count() == 0
     plan = filter_urls(pages, rules)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval", "Cartesian", "NestedLoop"))
+
+
+def test_a_hot_url_and_pages_without_host_are_split(spark):
+    """With broadcasts off, the join deals out a URL that a third of all pages have; those without host are no group."""
+    rows = [(i, None if i % 3 == 0 else "http://hot.example.com/en/7" if i % 3 == 1 else f"http://h{i}.org/es/{i}") for i in range(9000)]
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+        got = filter_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(16), rules)
+        assert {r["page_id"]: tuple(r)[1:] for r in got.collect()} == {i: judge(u, RULES) for i, u in rows}
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
