@@ -5,23 +5,28 @@ Vectors of one label link when their cosine, in double precision, reaches
 r = sqrt(2 - 2 threshold).
 
 1. Equal vectors of a label collapse into one that counts for all.
-2. Every vector is at home in the cell of its nearest pivot.  By the triangle
-   inequality, whatever lies within r of it is at home in a cell whose pivot is
-   at most 2 r farther than its own nearest, so it is replicated to those cells
-   as a guest.  The links of a home vector then all lie within its cell.
+2. Each label has pivots of its own, and every vector is at home in the cell of
+   its nearest pivot.  By the triangle inequality, whatever lies within r of it is
+   at home in a cell whose pivot is at most 2 r farther than its own nearest, and
+   the plane half-way between the two pivots must lie within r of it.  Where both
+   hold it is replicated to that cell as a guest.  The links of a home vector then
+   all lie within its cell.
 3. Cells join independently, in blocks of about ``block`` home by ``block``
    candidate vectors, so neither a hot label nor a hot cell meets in one task.
    A block returns link counts and a spanning forest, never the pairs.
 
-Pivots come from a bounded sample (``sample`` vectors of least hash), and as
-many are used as cost least on that sample: where the vectors have no cells to
-find (independent directions in many dimensions) replication reaches all cells
-and one pivot is best.  The choice decides speed alone; every vector is joined.
+Pivots come from a bounded sample (``sample`` vectors of least hash), and each
+label has as many as cost least on its part of that sample: where its vectors have
+no cells to find (independent directions in many dimensions) replication reaches
+all cells and one pivot is best, and the work is that of all pairs of the label.
+The choice decides speed alone; every vector is joined.
 
 Defined cases.  Vectors that are null, empty, zero or hold null or non-finite
 components, and rows of null label or id, link with nothing and are returned.
 Vectors of different dimension never link.  Rows that repeat an id are one node
-with the links of both, and each is returned.  Other columns are ignored.
+with the links of both, and each is returned.  Ids and labels are cast to long;
+one that is no number fails the job.  Very long vectors are used whole.  An empty
+table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,8 +72,21 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
 
 
+def cells_of(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each unit vector, and all cells that may hold something within the radius of it."""
+    dist = distances(x, pivots)
+    home = dist.argmin(1)
+    inside = dist <= dist.min(1, keepdims=True) + 2 * radius
+    apart = distances(pivots, pivots)[home]
+    # how far the plane half-way between the home pivot and another lies
+    beyond = (dist**2 - dist[np.arange(len(x)), home][:, None] ** 2) / 2
+    inside &= beyond <= radius * apart + 1e-9
+    inside[np.arange(len(x)), home] = True
+    return home, inside
+
+
 def choose_pivots(x: np.ndarray, reach: float) -> np.ndarray:
-    """As many rows of a sample as make the joins of its cells cheapest, replicas included."""
+    """As many rows of a sample as make the joins of its cells cheapest, replicas included; reach is twice the radius."""
     best, chosen = math.inf, x[:1]
     far = [0]
     d = distances(x, x[:1])[:, 0]
@@ -79,9 +97,7 @@ def choose_pivots(x: np.ndarray, reach: float) -> np.ndarray:
         if n > len(far):
             break
         pivots = x[far[:n]]
-        dist = distances(x, pivots)
-        home = dist.argmin(1)
-        inside = dist <= dist.min(1, keepdims=True) + reach
+        home, inside = cells_of(x, pivots, reach / 2)
         homes = np.bincount(home, minlength=n)
         cost = float((homes * inside.sum(0)).sum()) / len(x) ** 2 + 0.01 * float(inside.sum(1).mean())
         if cost < best:
@@ -92,20 +108,17 @@ def choose_pivots(x: np.ndarray, reach: float) -> np.ndarray:
 _CELLS = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("copies", pa.int64()), ("vector", pa.binary())])
 
 
-def _cells(pivots: dict[int, np.ndarray], reach: float):
+def _cells(pivots: dict[tuple[int, int], np.ndarray], radius: float):
     def run(batches):
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                p = pivots.get(int(dim))
-                if p is None:
-                    inside, home = np.ones((len(part), 1), bool), np.zeros(len(part), int)
+            labels, dims = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
+            for label, dim in sorted(set(zip(labels.tolist(), dims.tolist(), strict=True))):
+                part = batch.filter(pa.array((labels == label) & (dims == dim)))
+                p = pivots.get((label, dim))
+                if p is None or len(p) == 1:
+                    home, inside = np.zeros(len(part), int), np.ones((len(part), 1), bool)
                 else:
-                    dist = distances(unit(part.column("vector").to_pylist()), p)
-                    home = dist.argmin(1)
-                    inside = dist <= dist.min(1, keepdims=True) + reach
-                    inside[np.arange(len(part)), home] = True
+                    home, inside = cells_of(unit(part.column("vector").to_pylist()), p, radius)
                 row, cell = np.nonzero(inside)
                 take = pa.array(row)
                 got = {c: part.column(c).take(take) for c in ("label", "dim", "id", "copies", "vector")}
@@ -160,11 +173,12 @@ def embedding_links(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     members = materialise(packed, "vectors")
     classes = materialise(members.groupBy("label", "dim", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "distinct-vectors")
 
-    reach = 2 * math.sqrt(2 - 2 * threshold) + 1e-9
-    pivots = {}
-    for dim, got in _by_dim(classes.orderBy(F.xxhash64("vector"), "id").limit(sample).select("dim", "vector").collect()).items():
-        pivots[dim] = choose_pivots(unit(got), reach)
-    cells = materialise(classes.mapInArrow(tidied(_cells(pivots, reach)), "label long, dim int, cell int, home boolean, id long, copies long, vector binary"), "cells")
+    radius = math.sqrt(2 - 2 * threshold) + 1e-9
+    groups: dict[tuple[int, int], list[bytes]] = {}
+    for r in classes.orderBy(F.xxhash64("vector"), "id").limit(sample).select("label", "dim", "vector").collect():
+        groups.setdefault((r["label"], r["dim"]), []).append(bytes(r["vector"]))
+    pivots = spark.sparkContext.broadcast({key: choose_pivots(unit(got), 2 * radius) for key, got in groups.items()})
+    cells = materialise(classes.mapInArrow(tidied(lambda batches: _cells(pivots.value, radius)(batches)), "label long, dim int, cell int, home boolean, id long, copies long, vector binary"), "cells")
     key = ["label", "dim", "cell"]
     sizes = cells.groupBy(*key).agg(F.ceil(F.sum(F.col("home").cast("int")) / block).alias("homes"), F.ceil(F.count(F.lit(1)) / block).alias("all"))
     dealt = cells.join(sizes, key)
@@ -183,9 +197,3 @@ def embedding_links(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     root = F.coalesce("component", "id")
     return ids.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).alias("n_links"), root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
 
-
-def _by_dim(rows) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for r in rows:
-        out.setdefault(r["dim"], []).append(bytes(r["vector"]))
-    return out
