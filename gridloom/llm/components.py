@@ -8,44 +8,34 @@ from pyspark.sql import functions as F
 from gridloom.llm.storage import forget, materialise
 
 
-_EDGES = 200_000  # for each task
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (least node reachable) for every node that an edge joins to another.
 
     Each round links every node to its least neighbour, by aggregates that
     combine before the shuffle and joins on the node, and is written to the
-    shared folder; the tables of the round before are removed.  Only counts reach
-    the driver.
+    shared folder; the tables of the round before are removed.  It ends when all
+    that is left are stars.  Only counts reach the driver.
     """
     big, small = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     state = materialise(edges.where(F.col(a) != F.col(b)).select(big, small).distinct(), "edges")
-    seen = _sum(state)
-    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        n = 1 + seen[0] // _EDGES
-        # few edges need few tasks; where there are many, aggregates combine first and joins may split a hot node
-        dealt = (lambda df, key, n=n: df.repartition(n, key)) if n < most else (lambda df, key: df)
-        least = dealt(state.union(state.select("v", "u")), "u").groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    while not _stars(state):
+        least = state.union(state.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         least = materialise(least, "least")  # tables on both sides, so that the joins can split a hot node
-        large = dealt(state.select(F.col("v").alias("u"), F.col("u").alias("w")), "u").join(dealt(least, "u"), "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        large = state.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         # the least neighbour of each node is linked to it, too
-        large = dealt(large.union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u != v"), "u").distinct()
+        large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
         large = materialise(large, "stars")
-        root = materialise(dealt(large, "u").groupBy("u").agg(F.min("v").alias("m")), "roots")
+        root = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "roots")
         before = state
-        hop = dealt(large, "u").join(dealt(root, "u"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = materialise(dealt(hop.union(root.select("u", F.col("m").alias("v"))), "u").distinct(), "edges")
-        now = _sum(state)
+        hop = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        state = materialise(hop.union(root.select("u", F.col("m").alias("v"))).distinct(), "edges")
         forget(before, least, large, root)
-        if now == seen:
-            # all that is left are stars: a node's one neighbour is its root
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select("v", "v").distinct())
-        seen = now
+    # a node's one neighbour is its root
+    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select("v", "v").distinct())
 
 
-def _sum(edges: DataFrame) -> tuple:
-    """Tells one set of edges from another."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+def _stars(state: DataFrame) -> bool:
+    """Whether no node has two lesser neighbours, or a lesser and a greater one."""
+    ends = state.select(F.col("u").alias("node"), F.lit(1).alias("lesser"), F.lit(0).alias("greater")).union(state.select("v", F.lit(0), F.lit(1)))
+    counted = ends.groupBy("node").agg(F.sum("lesser").alias("lesser"), F.max("greater").alias("greater"))
+    return counted.where("lesser > 1 or lesser = 1 and greater = 1").isEmpty()
