@@ -137,7 +137,7 @@ def runs_of(words: Words, k: int, threshold: float, short: int) -> tuple[np.ndar
 
 _SKETCHED = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64())), ("counted", pa.binary())])
 _BINS = 256  # of words, by hash
-_BLOCK = 2048  # members of a bucket that one group of rows compares with as many others
+_BLOCK = 4096  # members of a bucket that one group of rows compares with as many others
 
 
 def _counted(words: Words) -> np.ndarray:
@@ -260,7 +260,8 @@ def _verify(threshold: float):
 def _may_link(threshold: float, limit: int):
     """Pairs of one task, of different components, that neither length nor counts of words rule out; tasks are runs of rows.
 
-    Of a document's pairs about ``limit`` are given; ``more`` tells whether any were held back.
+    Of a document's pairs about ``limit`` are given.  The ends of every pair that
+    is held back are given by themselves, with no b.
     """
 
     def pairs(batch):
@@ -289,17 +290,18 @@ def _may_link(threshold: float, limit: int):
                 close.append(bound <= most[k : k + 4096])
             close = np.concatenate(close) if close else np.zeros(0, bool)
             left, right = left[close], right[close]
-            all_of_them = len(left)
+            given = np.arange(len(left))
             for many, of in ((limit, component), (4 * limit, None)):
-                low, high = np.minimum(doc[left], doc[right]), np.maximum(doc[left], doc[right])
-                order = mix(low.astype(U64) * _C1 ^ mix(high.astype(U64)))
+                i, j = left[given], right[given]
+                order = mix(np.minimum(doc[i], doc[j]).astype(U64) * _C1 ^ mix(np.maximum(doc[i], doc[j]).astype(U64)))
                 # the same partners in each bucket
-                x, y = (_first(many, mix(p.astype(U64) * _C1 ^ mix(of[q].astype(U64))) if of is not None else p, order) for p, q in ((left, right), (right, left)))
-                keep = x & y if of is not None else x | y
-                left, right = left[keep], right[keep]
-            i, j = doc[left], doc[right]
-            more = np.full(len(left), len(left) < all_of_them)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(more)], names=["a", "b", "more"])
+                x, y = (_first(many, mix(doc[p].astype(U64) * _C1 ^ mix(of[q].astype(U64))) if of is not None else doc[p], order) for p, q in ((i, j), (j, i)))
+                given = given[x & y if of is not None else x | y]
+            back = np.ones(len(left), bool)
+            back[given] = False
+            back = np.unique(np.append(doc[left[back]], doc[right[back]]))
+            i, j = doc[left[given]], doc[right[given]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.minimum(i, j), back)), pa.concat_arrays([pa.array(np.maximum(i, j)), pa.nulls(len(back), pa.int64())])], names=["a", "b"])
             at = to
 
     def run(batches):
@@ -332,10 +334,11 @@ def _open(placed: DataFrame) -> DataFrame:
 
 
 def _rest(members: DataFrame, placed: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Pairs (a, b, more) of members that share a bucket, are of different components and may link.
+    """Pairs (a, b) of members that share a bucket, are of different components and may link.
 
     Of members: bucket, doc_id; of placed: doc_id, component, n, counted.  Members of
-    a bucket's largest component are compared with the others only.
+    a bucket's largest component are compared with the others only.  A row without
+    b is a member of a pair that was held back.
     """
     rows = members.join(placed.select("doc_id", "component"), "doc_id")
     parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -353,7 +356,7 @@ def _rest(members: DataFrame, placed: DataFrame, threshold: float, limit: int) -
     whole = F.array(key("whole", F.lit(0), F.lit(0), F.lit(0)))
     dealt = rows.select("doc_id", F.explode(F.when(F.col("whole"), whole).when(is_top, from_top).otherwise(F.concat(others, tops))).alias("t")).select("doc_id", "t.task", "t.side")
     dealt = dealt.join(placed.select("doc_id", "component", "n", "counted"), "doc_id").repartition("task").sortWithinPartitions("task")
-    near = materialise(dealt.mapInArrow(tidied(_may_link(threshold, limit)), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "near-pairs")
+    near = materialise(dealt.mapInArrow(tidied(_may_link(threshold, limit)), "a long, b long").distinct(), "near-pairs")
     forget(live)
     return near
 
@@ -415,16 +418,18 @@ def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
         placed = materialise(_placed(leaders, merged), "placed")
         open_ = _open(placed) if open_ is None else open_  # components only grow: no other bucket opens
         near = _rest(open_, placed, threshold, limit)
-        more = not near.where("more").isEmpty()
-        found = _aligned(near, texts, threshold)
+        back = materialise(near.where("b is null").select(F.col("a").alias("doc_id")), "held-back")
+        found = _aligned(near.where("b is not null"), texts, threshold)
         forget(near, placed)
         if not found.isEmpty():
             links = links.union(found)
             forget(merged)
             merged = materialise(components(links), "merged")
-        if not more:
+        if back.isEmpty():
             break
-        limit *= 32
+        before, limit = open_, 32 * limit
+        open_ = materialise(open_.join(back, "doc_id"), "open-members")
+        forget(before, back)
     forget(open_, leaders)
 
     of = known.select("doc_id", "content").join(classes.select("content", "node"), "content").join(merged, "node", "left")
