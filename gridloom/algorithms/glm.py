@@ -7,6 +7,7 @@ always fitted.  Rows with any value that is not finite have weight 0.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -272,13 +273,28 @@ def glm(responses: DArray, predictors: DArray, family: str = "gaussian", weights
             converged = True
             break
         before = dev
+    if not converged:
+        warnings.warn(f"no convergence in {control.maxit} steps", stacklevel=2)
     center = df.agg(F.sum(w * y) / F.sum(w)).first()[0]
     null = df.agg(F.sum(deviance_of(family, y, F.lit(float(center)), w))).first()[0]
     rank = min(p, n_good)
     rows = df.withColumn("_eta", _eta(names, beta, o)).withColumn("_mu", link_inverse(family, F.col("_eta")))
+    _warn_of_bounds(family, rows)
     return Glm(family, beta, dev, null, _aic(family, rows, dev, rank), k, converged, n_good - 1, n_good - rank, rows, names, bad)
 
 
+def _warn_of_bounds(family: str, rows: DataFrame) -> None:
+    """Fitted means at the bounds of the family's range: the estimates may be unbounded."""
+    if family == "gaussian":
+        return
+    near = 10 * np.finfo(float).eps
+    low, high = rows.agg(F.min("_mu"), F.max("_mu")).first()
+    if low is not None and low < near:
+        warnings.warn("fitted probabilities of 0" if family == "binomial" else "fitted rates of 0", stacklevel=3)
+    if family == "binomial" and high is not None and high > 1 - near:
+        warnings.warn("fitted probabilities of 1", stacklevel=3)
+
+
 def _deviance(df: DataFrame, family: str, names: list[str], beta: np.ndarray) -> float:
     mu = link_inverse(family, _eta(names, beta, F.col("_o")))
     found = df.agg(F.sum(deviance_of(family, F.col("_y"), mu, F.col("_w")))).first()[0]

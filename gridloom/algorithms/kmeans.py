@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
-from gridloom.index import RID
+from gridloom.index import RID, with_row_index
 from gridloom.objects import DArray, SparseArray, WideArray, is_darray
 from gridloom.sources import as_darray
 
@@ -173,7 +173,7 @@ def kmeans(x: DArray | SparseArray, centers: int | np.ndarray, iter_max: int = 1
         keep = good.where("good").select(RID)
         n = x.dim[0] - bad
         if isinstance(x, SparseArray):
-            number = keep.selectExpr(f"{RID} as i", f"row_number() over (order by {RID}) as _r")
+            number = with_row_index(keep, RID, "_r").withColumnRenamed(RID, "i")
             used = SparseArray(x.df.join(number, "i").select(F.col("_r").cast("long").alias("i"), "j", "v"), Grid((n,), x.grid.cols))
         else:
             used = x._like(x.df.join(keep, RID), Grid((n,), x.grid.cols), x.columns) if not isinstance(x, WideArray) else WideArray(x.df.join(keep, RID), Grid((n,), x.grid.cols))

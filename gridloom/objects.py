@@ -16,6 +16,7 @@ Everything is lazy until ``collect``.  Heterogeneous list items are pickled.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -33,14 +34,24 @@ ROWNAME = "__rowname"
 class DObject:
     """What all distributed objects share."""
 
-    df: DataFrame
     grid: Grid
     kind = "dobject"
     #: Of a view that parts() made: the object and the number of the partition.
     origin: tuple[DObject, int] | None = None
 
-    def __init__(self, df: DataFrame, grid: Grid):
-        self.df, self.grid = df, grid
+    def __init__(self, df: DataFrame | Callable[[], DataFrame], grid: Grid):
+        self._df, self.grid = df, grid
+
+    @property
+    def df(self) -> DataFrame:
+        """The rows; those of a view are planned when they are first asked for."""
+        if not isinstance(self._df, DataFrame):
+            self._df = self._df()
+        return self._df
+
+    @df.setter
+    def df(self, rows: DataFrame) -> None:
+        self._df = rows
 
     @property
     def nparts(self) -> tuple[int, int]:
@@ -112,8 +123,7 @@ class DList(DObject):
 
     def part(self, k: int) -> DList:
         first, last, _, _ = self.grid.block(k)
-        view = self.df.where(F.col("idx").between(first, last)).withColumn("idx", F.col("idx") - (first - 1))
-        return DList(view, [last - first + 1], self.pickled, self.named)
+        return DList(lambda: self.df.where(F.col("idx").between(first, last)).withColumn("idx", F.col("idx") - (first - 1)), [last - first + 1], self.pickled, self.named)
 
     def load(self, value):
         return pickle.loads(value) if self.pickled and value is not None else value
@@ -154,8 +164,11 @@ class Table(DObject):
     def part(self, k: int) -> Table:
         r0, r1, c0, c1 = self.grid.block(k)
         columns = self.columns[c0 - 1 : c1]
-        keep = [ROWNAME] if self.named_rows else []
-        view = self.df.where(F.col(RID).between(r0, r1)).select((F.col(RID) - (r0 - 1)).alias(RID), *keep, *map(quoted, columns))
+
+        def view() -> DataFrame:
+            keep = [ROWNAME] if self.named_rows else []
+            return self.df.where(F.col(RID).between(r0, r1)).select((F.col(RID) - (r0 - 1)).alias(RID), *keep, *map(quoted, columns))
+
         return self._like(view, Grid((r1 - r0 + 1,), (c1 - c0 + 1,)), columns)
 
     def numbers(self) -> list[Column]:
@@ -223,8 +236,7 @@ class WideArray(DArray):
 
     def part(self, k: int) -> WideArray:
         r0, r1, c0, c1 = self.grid.block(k)
-        view = self.df.where(F.col(RID).between(r0, r1)).select((F.col(RID) - (r0 - 1)).alias(RID), F.slice("row", c0, c1 - c0 + 1).alias("row"))
-        return WideArray(view, Grid((r1 - r0 + 1,), (c1 - c0 + 1,)))
+        return WideArray(lambda: self.df.where(F.col(RID).between(r0, r1)).select((F.col(RID) - (r0 - 1)).alias(RID), F.slice("row", c0, c1 - c0 + 1).alias("row")), Grid((r1 - r0 + 1,), (c1 - c0 + 1,)))
 
     def colnames(self) -> list[str]:
         return [f"c{j}" for j in range(1, self.dim[1] + 1)]
@@ -242,8 +254,7 @@ class SparseArray(DObject):
 
     def part(self, k: int) -> SparseArray:
         r0, r1, c0, c1 = self.grid.block(k)
-        view = self.df.where(F.col("i").between(r0, r1) & F.col("j").between(c0, c1)).select((F.col("i") - (r0 - 1)).alias("i"), (F.col("j") - (c0 - 1)).alias("j"), "v")
-        return SparseArray(view, Grid((r1 - r0 + 1,), (c1 - c0 + 1,)))
+        return SparseArray(lambda: self.df.where(F.col("i").between(r0, r1) & F.col("j").between(c0, c1)).select((F.col("i") - (r0 - 1)).alias("i"), (F.col("j") - (c0 - 1)).alias("j"), "v"), Grid((r1 - r0 + 1,), (c1 - c0 + 1,)))
 
     def _local(self) -> np.ndarray:
         out = np.zeros(self.dim)
@@ -255,6 +266,12 @@ class SparseArray(DObject):
         return self.df
 
 
+def one_backend(*items: DObject) -> None:
+    """Objects can meet only within one application."""
+    if len({x.df.sparkSession.sparkContext.applicationId for x in items}) > 1:
+        raise ValueError("the objects belong to different backends")
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

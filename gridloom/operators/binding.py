@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
 from gridloom.index import RID
-from gridloom.objects import DArray, DFrame, DList, DObject, SparseArray, Table, WideArray, quoted
+from gridloom.objects import DArray, DFrame, DList, DObject, SparseArray, Table, WideArray, one_backend, quoted
 
 
 def _kind(items: tuple[DObject, ...]) -> str:
     if any(isinstance(x, DList) for x in items):
         raise TypeError("lists cannot be bound")
+    one_backend(*items)
     if all(isinstance(x, SparseArray) for x in items):
         return "sparse"
     return "dframe" if any(isinstance(x, DFrame) for x in items) else "darray"

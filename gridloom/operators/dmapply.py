@@ -4,7 +4,9 @@ Two ways to say what is mapped:
 
 * ``map_items``, ``map_columns`` and ``map_cells`` take functions of Columns, so
   Catalyst sees the whole computation and nothing leaves the JVM;
-* ``dmapply`` takes any Python function.  Inputs become rows of (task, argument,
+* ``dmapply`` takes any Python function.  Single items and cells stay columns: the
+  function runs over Arrow batches of them, after a join by place where there are
+  several iterables.  Columns and partitions become rows of (task, argument,
   payload), meet by task in one shuffle, and the function runs once per task on
   the executors.  A task holds its own arguments only.
 
@@ -22,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ from gridloom import session
 from gridloom.grid import Grid, split_even
 from gridloom.index import RID
 from gridloom.objects import DArray, DFrame, DList, DObject, SparseArray, Table, WideArray, quoted
+from gridloom.storage import materialise
 
 _ROWS = "task long, arg int, pos int, seq long, payload binary"
 
@@ -115,10 +119,19 @@ def _blocks(placed: list[tuple[int, int, DObject]], arg: int) -> list[DataFrame]
     return out
 
 
-def _payload(df: DataFrame, value: str = "value") -> DataFrame:
+def _plain(v):
+    """A value as Python has it: missing ones are None."""
+    return None if v is None or v is pd.NaT else v.item() if isinstance(v, np.generic) else v
+
+
+def _payload(df: DataFrame) -> DataFrame:
+    """Items (task, arg, seq, value or, if pickled, payload) as rows for tasks that other iterables share."""
+    if "payload" in df.columns:
+        return df.select("task", "arg", F.lit(0).alias("pos"), "seq", "payload")
+
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"task": b["task"], "arg": b["arg"], "pos": 0, "seq": b["seq"], "payload": [pickle.dumps(None if v is None or v is pd.NaT else v.item() if isinstance(v, np.generic) else v) for v in b[value]]})
+            yield pd.DataFrame({"task": b["task"], "arg": b["arg"], "pos": 0, "seq": b["seq"], "payload": [pickle.dumps(_plain(v)) for v in b["value"]]})
 
     return df.mapInPandas(run, _ROWS)
 
@@ -129,9 +142,8 @@ def _argument(x, arg: int) -> tuple[int, str, dict, list[DataFrame]]:
     if isinstance(x, DObject) and x.df.sparkSession is not spark:
         raise ValueError("the object belongs to another backend")
     if isinstance(x, DList):
-        rows = x.df.select(F.col("idx").alias("task"), F.lit(arg).alias("arg"), F.lit(0).cast("long").alias("seq"), "value")
-        packed = rows.select("task", "arg", F.lit(0).alias("pos"), "seq", F.col("value").alias("payload")) if x.pickled else _payload(rows)
-        return len(x), "item", {}, [packed]
+        rows = x.df.select(F.col("idx").alias("task"), F.lit(arg).alias("arg"), F.lit(0).cast("long").alias("seq"), F.col("value").alias("payload" if x.pickled else "value"))
+        return len(x), "item", {}, [rows]
     if isinstance(x, DFrame):
         frames = []
         for j, c in enumerate(x.columns, 1):
@@ -140,7 +152,7 @@ def _argument(x, arg: int) -> tuple[int, str, dict, list[DataFrame]]:
     if isinstance(x, (DArray, SparseArray)):
         n, p = x.dim
         cells = x.coo().select(((F.col("j") - 1) * n + F.col("i")).alias("task"), F.lit(arg).alias("arg"), F.lit(0).cast("long").alias("seq"), F.col("v").alias("value"))
-        return n * p, "cell" if isinstance(x, SparseArray) else "item", {}, [_payload(cells)]
+        return n * p, "cell" if isinstance(x, SparseArray) else "item", {}, [cells]
     items = [x[c].to_numpy() for c in x.columns] if isinstance(x, pd.DataFrame) else list(x.ravel(order="F")) if isinstance(x, np.ndarray) else list(x)
     if any(isinstance(v, DObject) for v in items):
         if not all(isinstance(v, DObject) for v in items):
@@ -150,8 +162,8 @@ def _argument(x, arg: int) -> tuple[int, str, dict, list[DataFrame]]:
     if items and all(isinstance(v, (list, tuple)) and all(isinstance(p, DObject) for p in v) for v in items) and any(items):
         shapes = {t: [(p.kind, p.dim, getattr(p, "columns", None)) for p in v] for t, v in enumerate(items, 1)}
         return len(items), "group", shapes, _blocks([(t, q, p) for t, v in enumerate(items, 1) for q, p in enumerate(v)], arg)
-    rows = [(t, arg, 0, 0, pickle.dumps(v.item() if isinstance(v, np.generic) else v)) for t, v in enumerate(items, 1)]
-    return len(items), "item", {}, [spark.createDataFrame(rows, _ROWS)]
+    rows = [(t, arg, 0, pickle.dumps(v.item() if isinstance(v, np.generic) else v)) for t, v in enumerate(items, 1)]
+    return len(items), "item", {}, [spark.createDataFrame(rows, "task long, arg int, seq long, payload binary")]
 
 
 def _block(shape, chunks: list[tuple]):
@@ -195,7 +207,7 @@ def dmapply(f: Callable, *args, more_args: dict | None = None, output_type: str
     output_type: dlist, darray, dframe or sparse_darray.  combine: default keeps
     results as items (or makes columns of them), c flattens lists by one level,
     rbind and cbind stitch the results of a partition.  more_args go whole to
-    every call; distributed ones are collected first.
+    every call; distributed ones are collected first, up to ``MOST_SHARED`` cells.
     """
     if output_type not in ("dlist", "darray", "dframe", "sparse_darray"):
         raise ValueError(f"unknown output type {output_type!r}")
@@ -216,7 +228,8 @@ def dmapply(f: Callable, *args, more_args: dict | None = None, output_type: str
     total = shape[0] * shape[1]
     if total > n:
         raise ValueError(f"{n} results cannot fill {total} partitions")
-    more = {k: v.collect() if isinstance(v, DObject) else v for k, v in (more_args or {}).items()}
+    spark = session.current().spark
+    more = spark.sparkContext.broadcast({k: _whole(k, v) if isinstance(v, DObject) else v for k, v in (more_args or {}).items()})
     kinds, shapes = [g[1] for g in got], [g[2] for g in got]
 
     def call(part: pd.DataFrame):
@@ -232,27 +245,31 @@ def dmapply(f: Callable, *args, more_args: dict | None = None, output_type: str
                 values.append(_block(shapes[a][task], [pickle.loads(x) for x in mine["payload"]]))
             else:
                 values.append([_block(s, [pickle.loads(x) for x in mine.loc[mine["pos"] == q, "payload"]]) for q, s in enumerate(shapes[a][task])])
-        return task, f(*values, **more)
+        return task, f(*values, **more.value)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        task, value = call(part)
+    def result(task: int, value) -> list[tuple]:
         if output_type == "dlist":
             items = list(value) if combine == "c" and isinstance(value, (list, tuple, np.ndarray)) else [value]
             rows = [(task, k, len(items), 1, None, pickle.dumps(v.item() if isinstance(v, np.generic) else v)) for k, v in enumerate(items)]
-            return pd.DataFrame(rows or [(task, -1, 0, 1, None, None)], columns=_NAMES)
+            return rows or [(task, -1, 0, 1, None, None)]
         if output_type in ("darray", "sparse_darray") and isinstance(value, (pd.DataFrame, str)):
             raise TypeError(f"a {type(value).__name__} is no block of an array")
+        if output_type != "dframe" and isinstance(value, (int, float, np.number)):
+            return [(task, -1, 1, 1, '[["0", "double"]]', None), (task, 0, 1, 1, None, pickle.dumps((float(value),)))]
         table = _matrix(value)
         meta = json.dumps([[str(c), _kind_of(t) if output_type == "dframe" else "double"] for c, t in zip(table.columns, table.dtypes, strict=True)])
         rows = [(task, -1, *table.shape, meta, None)]
-        rows += [(task, k, *table.shape, None, pickle.dumps(tuple(r))) for k, r in enumerate(table.itertuples(index=False, name=None))]
-        return pd.DataFrame(rows, columns=_NAMES)
-
-    spark = session.current().spark
-    every = spark.range(1, n + 1).select(F.col("id").alias("task"), F.lit(-1).alias("arg"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("binary").alias("payload"))
-    rows = reduce(DataFrame.union, [every, *(df.select("task", "arg", "pos", "seq", "payload") for g in got for df in g[3])])
+        return rows + [(task, k, *table.shape, None, pickle.dumps(tuple(r))) for k, r in enumerate(table.itertuples(index=False, name=None))]
+
+    if all(kind in ("item", "cell") for kind in kinds):
+        results = _by_item(spark, n, kinds, [g[3][0] for g in got], f, more, result)
+    else:
+        every = spark.range(1, n + 1).select(F.col("id").alias("task"), F.lit(-1).alias("arg"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("binary").alias("payload"))
+        inputs = [_payload(df) if kind in ("item", "cell") else df for (_, kind, _, frames) in got for df in frames]
+        rows = reduce(DataFrame.union, [every, *(df.select("task", "arg", "pos", "seq", "payload") for df in inputs)])
+        results = rows.groupBy("task").applyInPandas(lambda part: pd.DataFrame(result(*call(part)), columns=_NAMES), _RESULT)
     # the function runs once: what follows reads its results
-    results = rows.groupBy("task").applyInPandas(run, _RESULT).persist()
+    results = materialise(results, "dmapply")
     sizes = split_even(n, total)
     if output_type == "dlist":
         if combine != "c":
@@ -267,6 +284,44 @@ def dmapply(f: Callable, *args, more_args: dict | None = None, output_type: str
 
 
 _NAMES = [c.split()[0] for c in _RESULT.split(", ")]
+#: Cells or items of a distributed value that may go to every task as one of more_args.
+MOST_SHARED = 50_000_000
+
+
+def _whole(name: str, value: DObject):
+    """A distributed value that every call gets: collected once, and broadcast."""
+    if len(value) > MOST_SHARED:
+        raise ValueError(f"{name} has {len(value)} cells: too many to give to every task; map over it instead")
+    return value.collect()
+
+
+def _by_item(spark, n: int, kinds: list[str], frames: list[DataFrame], f: Callable, more, result: Callable) -> DataFrame:
+    """The function on rows of one item of each iterable; nothing is grouped."""
+    named = [df.select("task", F.struct(F.col("payload" if "payload" in df.columns else "value").alias("v")).alias(f"_{k}")) for k, df in enumerate(frames)]
+    pickled = ["payload" in df.columns for df in frames]
+    if "cell" in kinds:  # absent cells have no row
+        named = [spark.range(1, n + 1).select(F.col("id").alias("task")), *named]
+    rows = reduce(lambda a, b: a.join(b, "task", "left" if "cell" in kinds else "inner"), named)
+    value = lambda k, kind: F.when(F.col(f"_{k}").isNull(), F.lit(0.0)).otherwise(F.col(f"_{k}.v")) if kind == "cell" else F.col(f"_{k}.v")
+    rows = rows.select("task", *(value(k, kind).alias(f"_{k}") for k, kind in enumerate(kinds)))
+
+    def values(column: pa.Array, is_pickled: bool) -> list:
+        if is_pickled:
+            return [pickle.loads(v) for v in column.to_pylist()]
+        return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_floating(column.type) else column.to_pylist()
+
+    def run(batches):
+        for batch in batches:
+            task, *columns = batch.columns
+            items = zip(*(values(c, p) for c, p in zip(columns, pickled, strict=True)), strict=True)
+            out = [r for t, row in zip(task.to_pylist(), items, strict=True) for r in result(t, f(*row, **more.value))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _RESULT_ARROW.types, strict=True)], schema=_RESULT_ARROW)
+
+    return rows.mapInArrow(run, _RESULT)
+
+
+_RESULT_ARROW = pa.schema([("task", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("p", pa.int64()), ("meta", pa.string()), ("payload", pa.binary())])
 
 
 def _stitched(results: DataFrame, n: int, shape: tuple[int, int], sizes: list[int], output_type: str, combine: str) -> Table | SparseArray:

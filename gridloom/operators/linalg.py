@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
 from gridloom.index import RID
-from gridloom.objects import DArray, DObject, SparseArray, Table, quoted
+from gridloom.objects import DArray, DObject, SparseArray, Table, one_backend, quoted
 
 
 def matmul(a: DObject, b: DObject) -> SparseArray:
     """The product of two arrays over their cells: one join on the inner index and one aggregate."""
+    one_backend(a, b)
     if a.dim[1] != b.dim[0]:
         raise ValueError(f"{a.dim} and {b.dim} do not fit")
     left = a.coo().select("i", F.col("j").alias("k"), F.col("v").alias("x")).where("x is null or x != 0")
@@ -28,6 +29,7 @@ def transpose(x: SparseArray) -> SparseArray:
 
 def elementwise(f: Callable[[Column, Column], Column], a: Table, b: Table) -> DArray:
     """f of the cells at each place."""
+    one_backend(a, b)
     if a.dim != b.dim:
         raise ValueError(f"{a.dim} and {b.dim} differ")
     names = [f"c{j}" for j in range(1, a.dim[1] + 1)]

@@ -1,8 +1,6 @@
 """Queries of the collections and the SQL that each must equal.
 
-The PageRank queries keep every seventh order key, those of segments every third
-customer, in query and SQL; see the README.
-Doubles are rounded on both sides.
+All run over whole tables.  Doubles are rounded on both sides.
 """
 
 from __future__ import annotations
@@ -292,6 +290,34 @@ def cell_map_colmajor(spark, d):
     return _round(map_cells(lambda v: v * 10, x).df)
 
 
+@query(f"SELECT a.rid AS idx, round(a.o_totalprice - 2 * b.o_totalprice, 4) AS value FROM {_NUMBERED} a JOIN {_NUMBERED} b ON b.rid = (SELECT count(*) FROM orders) + 1 - a.rid")
+def dmapply_zip(spark, d):
+    """Any function of the items at each place of two lists."""
+    x = _price_list(spark, d)
+    return _round(_loaded(dmapply(lambda a, b: a - 2 * b, x, reverse(x)), "double"))
+
+
+@query(f"SELECT j AS idx, value FROM ({_per_column(_ORDER, 'round(max({c}) - min({c}) + count(*), 4)::DOUBLE', 'orders')})")
+def dmapply_columns(spark, d):
+    """Any function of each column of a frame."""
+    return _round(_loaded(dmapply(lambda c: float(max(c) - min(c) + len(c)), _orders(spark, d), nparts=3), "double"))
+
+
+@query("WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_size::DOUBLE AS a, p_retailprice AS b, (SELECT count(*) FROM part) AS n FROM part) SELECT i AS idx, round(a * 10 - 1, 4) AS value FROM p UNION ALL SELECT n + i, round(b * 10 - 1, 4) FROM p")
+def dmapply_cells(spark, d):
+    """Any function of each cell of an array, in column-major order."""
+    return _round(_loaded(dmapply(lambda v: v * 10 - 1, _part_array(spark, d)), "double"))
+
+
+@query("WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS rid, n_nationkey AS k FROM nation) SELECT (rid - 1) // 5 + 1 AS idx, round(sum(k) + 1000 * ((rid - 1) // 5 + 1) + 0.5, 4)::DOUBLE AS value FROM n GROUP BY (rid - 1) // 5")
+def dmapply_multimodal(spark, d):
+    """Partitions of an array, items of a list and a local vector side by side."""
+    x = from_dataframe(_table(spark, d, "nation").select("n_nationkey"), "n_nationkey", (5, 1), ["n_nationkey"], "darray")
+    parts = x.parts()
+    numbers = dlist(*[1000.0 * k for k in range(1, len(parts) + 1)])
+    return _round(_loaded(dmapply(lambda block, k, half: float(block.sum() + k + half), parts, numbers, [0.5] * len(parts)), "double"))
+
+
 @query(f"SELECT ((rid - 1) // 1000 + 1)::BIGINT AS idx, round(sum(o_totalprice), 2) AS value FROM {_NUMBERED} GROUP BY 1")
 def part_map(spark, d):
     x = _orders(spark, d, (1000, 1), ["o_totalprice"], "darray")
@@ -399,53 +425,50 @@ def elementwise_minus(spark, d):
     return _round(elementwise(lambda a, b: a - b, half("c1"), half("c2")).df, 4, "c1")
 
 
-_COUNTS = "(SELECT c_nationkey + 1 AS i, CASE c_mktsegment {cases} END AS j, count(*)::DOUBLE AS v FROM customer GROUP BY 1, 2)"
-
+def _priorities(spark, d) -> SparseArray:
+    """How many orders a customer (row) has of a priority (column): many have none."""
+    orders = _table(spark, d, "orders")
+    names = [r[0] for r in orders.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
+    n = _table(spark, d, "customer").count()
+    j = F.array_position(F.array(*map(F.lit, names)), F.col("o_orderpriority"))
+    return sparse_from_dataframe(orders.select((F.col("o_custkey") + 1).alias("i"), j.alias("j"), F.lit(1.0).alias("v")), (n, len(names)), (min(500, n), 2))
 
-def _segments(spark, d) -> SparseArray:
-    """How many customers a nation (row) has in a segment (column)."""
-    customers = _table(spark, d, "customer")
-    segments = [r[0] for r in customers.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
-    nations = _table(spark, d, "nation").count()
-    j = F.array_position(F.array(*map(F.lit, segments)), F.col("c_mktsegment"))
-    cells = customers.where("c_custkey % 3 = 0").select((F.col("c_nationkey") + 1).alias("i"), j.alias("j"), F.lit(1.0).alias("v"))
-    return sparse_from_dataframe(cells, (nations, len(segments)), (10, 2))
 
+_CELLS = "(SELECT (o_custkey + 1)::BIGINT AS i, j, count(*)::DOUBLE AS v FROM orders JOIN (SELECT o_orderpriority AS name, row_number() OVER (ORDER BY o_orderpriority) AS j FROM (SELECT DISTINCT o_orderpriority FROM orders)) ON name = o_orderpriority GROUP BY 1, 2)"
+_CELL_COUNT = "(SELECT count(*) FROM customer) * (SELECT count(DISTINCT o_orderpriority) FROM orders)"
 
-_CELLS = "(SELECT (c_nationkey + 1)::BIGINT AS i, (SELECT count(DISTINCT c_mktsegment) FROM customer s WHERE s.c_mktsegment <= c.c_mktsegment) AS j, count(*)::DOUBLE AS v FROM customer c WHERE c_custkey % 3 = 0 GROUP BY c_nationkey, c_mktsegment)"
 
-
-@query(f"SELECT n_nationkey + 1::BIGINT AS __rid, coalesce(sum(v), 0.0)::DOUBLE AS value FROM nation LEFT JOIN {_CELLS} ON i = n_nationkey + 1 GROUP BY n_nationkey")
+@query(f"SELECT c_custkey + 1::BIGINT AS __rid, coalesce(sum(v), 0.0)::DOUBLE AS value FROM customer LEFT JOIN {_CELLS} ON i = c_custkey + 1 GROUP BY c_custkey")
 def sparse_rowsums(spark, d):
-    return agg.row_sums(_segments(spark, d))
+    return agg.row_sums(_priorities(spark, d))
 
 
 @query(f"SELECT j, 'c' || j AS name, sum(v) AS value FROM {_CELLS} GROUP BY j")
 def sparse_colsums(spark, d):
-    return agg.col_sums(_segments(spark, d))
+    return agg.col_sums(_priorities(spark, d))
 
 
-@query(f"SELECT CASE WHEN count(*) < (SELECT count(*) FROM nation) * (SELECT count(DISTINCT c_mktsegment) FROM customer) THEN least(min(v), 0) ELSE min(v) END AS value FROM {_CELLS}")
+@query(f"SELECT CASE WHEN count(*) < {_CELL_COUNT} THEN least(min(v), 0) ELSE min(v) END AS value FROM {_CELLS}")
 def sparse_min_implicit_zero(spark, d):
-    return agg.smallest(_segments(spark, d))
+    return agg.smallest(_priorities(spark, d))
 
 
-@query(f"SELECT greatest(max(-v), 0)::DOUBLE AS value FROM {_CELLS} HAVING count(*) < (SELECT count(*) FROM nation) * (SELECT count(DISTINCT c_mktsegment) FROM customer) UNION ALL SELECT max(-v) FROM {_CELLS} HAVING count(*) >= (SELECT count(*) FROM nation) * (SELECT count(DISTINCT c_mktsegment) FROM customer)")
+@query(f"SELECT CASE WHEN count(*) < {_CELL_COUNT} THEN greatest(max(-v), 0) ELSE max(-v) END AS value FROM {_CELLS}")
 def sparse_max_implicit_zero(spark, d):
-    x = _segments(spark, d)
+    x = _priorities(spark, d)
     return agg.largest(SparseArray(x.df.withColumn("v", -F.col("v")), x.grid))
 
 
 @query(f"SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM {_CELLS} a JOIN {_CELLS} b ON a.i = b.i GROUP BY 1, 2")
 def matmul_coo(spark, d):
-    x = _segments(spark, d)
+    x = _priorities(spark, d)
     t = SparseArray(x.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), Grid(x.grid.cols, x.grid.rows))
     return matmul(t, x).df
 
 
 @query(f"SELECT i, j, v FROM {_CELLS} ORDER BY v DESC, j, i LIMIT 1")
 def dwhich_max(spark, d):
-    return agg.which_max(_segments(spark, d))
+    return agg.which_max(_priorities(spark, d))
 
 
 @query("SELECT rid AS __rid, round(c1, 2) AS c1 FROM (SELECT row_number() OVER (ORDER BY k) AS rid, c1 FROM (SELECT (rid - 1) // 500 AS k, sum(o_totalprice) AS c1 FROM " + _NUMBERED + " GROUP BY 1))")
@@ -464,22 +487,22 @@ def dmapply_frame(spark, d):
     return got.df
 
 
-_TRADE = "(SELECT c_nationkey + 1 AS i, n_regionkey * 5 + o_custkey % 5 + 1 AS j, count(*)::DOUBLE AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"
+_TRADE = "(SELECT c_nationkey + 1 AS i, n_regionkey * 5 + o_custkey % 5 + 1 AS j, count(*)::DOUBLE AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"
 
 
 def _trade(spark, d) -> SparseArray:
     """Links between nations: orders of each nation's customers, by region and customer."""
-    rows = _table(spark, d, "orders").where("o_orderkey % 7 = 0").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     cells = rows.select((F.col("c_nationkey") + 1).alias("i"), (F.col("n_regionkey") * 5 + F.col("o_custkey") % 5 + 1).alias("j"), F.lit(1.0).alias("v"))
     n = _table(spark, d, "nation").count()
     return sparse_from_dataframe(cells, (n, n), (n, n))
 
 
-def _pagerank_sql(passes: int, weight: str = "v", teleport: str = "1.0 / 25") -> str:
+def _pagerank_sql(passes: int, weight: str = "v", teleport: str = "1.0 / 25", digits: int = 8) -> str:
     out = f"WITH e AS MATERIALIZED (SELECT i, j, {weight} AS v FROM {_TRADE}), s AS MATERIALIZED (SELECT e.i, j, v / (sum(v) OVER (PARTITION BY e.i)) AS share FROM e), n AS (SELECT n_nationkey + 1 AS id, {teleport} AS t FROM nation), p0 AS (SELECT id, 0.15 AS r FROM n)"
     for k in range(1, passes + 1):
         out += f", u{k} AS (SELECT n.id, 0.85 * coalesce(sum(s.share * p.r), 0) + 0.15 * any_value(n.t) AS r FROM n LEFT JOIN s ON s.j = n.id LEFT JOIN p{k - 1} p ON p.id = s.i GROUP BY n.id), p{k} AS MATERIALIZED (SELECT id, r / (SELECT sum(r) FROM u{k}) AS r FROM u{k})"
-    return out + f" SELECT id::BIGINT AS id, round(r, 8) AS rank FROM p{passes}"
+    return out + f" SELECT id::BIGINT AS id, round(r, {digits}) AS rank FROM p{passes}"
 
 
 @query(_pagerank_sql(5))
@@ -487,10 +510,10 @@ def pagerank_k(spark, d):
     return _round(pagerank(_trade(spark, d), niter=5, eps=1e-300), 8, "rank")
 
 
-@query(_pagerank_sql(5, "v * (i % 3 + 1)"))
+@query(_pagerank_sql(5, "v * (j % 3 + 1)"))
 def pagerank_weighted(spark, d):
     x = _trade(spark, d)
-    w = SparseArray(x.df.select("i", "j", (F.col("i") % 3 + 1).cast("double").alias("v")), x.grid)
+    w = SparseArray(x.df.select("i", "j", (F.col("j") % 3 + 1).cast("double").alias("v")), x.grid)
     return _round(pagerank(x, niter=5, eps=1e-300, weights=w), 8, "rank")
 
 
@@ -502,9 +525,19 @@ def pagerank_personalized(spark, d):
     return _round(pagerank(x, niter=5, eps=1e-300, personalized=t), 8, "rank")
 
 
-@query()
+@query(_pagerank_sql(40, digits=4))
 def pagerank_eps(spark, d):
-    return pagerank(_trade(spark, d), niter=100, eps=1e-9)
+    """Stops by itself, at ranks that more passes do not change."""
+    return _round(pagerank(_trade(spark, d), niter=100, eps=1e-7), 4, "rank")
+
+
+@query(_pagerank_sql(5))
+def pagerank_dense(spark, d):
+    x = _trade(spark, d)
+    n = x.dim[0]
+    rows = spark.range(1, n + 1).join(x.df.withColumnRenamed("i", "id"), "id", "left").groupBy("id").agg(*(F.coalesce(F.sum(F.when(F.col("j") == j, F.col("v"))), F.lit(0.0)).alias(f"c{j}") for j in range(1, n + 1)))
+    dense = from_dataframe(rows, "id", (n, 5), [f"c{j}" for j in range(1, n + 1)], "darray")
+    return _round(pagerank(dense, niter=5, eps=1e-300), 8, "rank")
 
 
 _CENTERS = np.array([[5.0, 920.0], [25.0, 950.0], [45.0, 980.0]])
@@ -547,6 +580,39 @@ def kmeans_wss(spark, d):
     return assigned(_part_array(spark, d), _CENTERS).groupBy("label").agg(F.round(F.sum("d2"), 2).alias("wss"), F.count(F.lit(1)).alias("n"))
 
 
+def _fitted(spark, d):
+    return kmeans(_part_array(spark, d), _CENTERS, iter_max=3, complete_model=True)
+
+
+@query(_kmeans_sql(3) + " SELECT rid AS __rid, label FROM l4")
+def kmeans_predict(spark, d):
+    """Labels of the rows by a model of three passes."""
+    return _fitted(spark, d).predict(_part_array(spark, d))
+
+
+@query(_kmeans_sql(3) + " SELECT rid AS __rid, round(c.a, 6) AS a, round(c.b, 6) AS b FROM l4 JOIN c3 c ON c.k = l4.label")
+def kmeans_fitted(spark, d):
+    got = _fitted(spark, d).fitted("centers")
+    return got.select(RID, F.round(F.col("center")[0], 6).alias("a"), F.round(F.col("center")[1], 6).alias("b"))
+
+
+@query(_kmeans_sql(3) + " SELECT label, count(*) AS n, round(sum(d2), 2) AS wss, round((SELECT (var_pop(xa) + var_pop(xb)) * count(*) FROM l4) - (SELECT sum(d2) FROM l4), 1) AS betweenss FROM l4 GROUP BY label")
+def kmeans_model(spark, d):
+    """What a complete model holds: sums of squares within its clusters and between them."""
+    m = _fitted(spark, d)
+    labels = m.cluster.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    wss = spark.createDataFrame([(k, round(float(w), 2), round(float(m.betweenss), 1)) for k, w in enumerate(m.withinss, 1)], "label int, wss double, betweenss double")
+    return labels.join(wss, "label")
+
+
+@query("SELECT true AS best, true AS same")
+def kmeans_nstart(spark, d):
+    """Of several starts the one with the least sum of squares is kept, and a seed repeats itself."""
+    x = _part_array(spark, d)
+    one, two, again = (kmeans(x, 3, iter_max=4, nstart=n, complete_model=True, seed=1) for n in (1, 2, 2))
+    return spark.createDataFrame([(bool(two.tot_withinss <= one.tot_withinss + 1e-9), bool(np.allclose(two.centers, again.centers)))], "best boolean, same boolean")
+
+
 @query(f"SELECT round((var_pop(a) + var_pop(b)) * count(*), 2) AS totss FROM {_PARTS}")
 def kmeans_totss(spark, d):
     model = kmeans(_part_array(spark, d), _CENTERS, iter_max=30, complete_model=True)
@@ -625,6 +691,78 @@ def glm_poisson_newton_k(spark, d):
     return _row(spark, intercept=round(float(b[0]), 6), slope=round(float(b[1]), 6))
 
 
+def _fit_sql(rows: str, mean: str, hessian: str, steps: int, then: str) -> str:
+    """Newton's method as in _newton_sql, and a query over m: x, y and the fitted mean h."""
+    fit = _newton_sql(rows, mean, hessian, steps).rsplit(" SELECT ", 1)[0]
+    return f"{fit}, m AS (SELECT x, y, {mean} AS h, b0, b1 FROM d, b{steps}) {then}"
+
+
+_LOGIT_MEAN, _COUNT_MEAN = "1 / (1 + exp(-(b0 + b1 * x)))", "exp(b0 + b1 * x)"
+
+
+def _binomial(spark, d):
+    return glm(*_columns(spark, d, "l_returnflag = 'R'", "l_quantity / 10"), family="binomial")
+
+
+def _poisson(spark, d):
+    return glm(*_columns(spark, d, "l_linenumber", "l_quantity / 50"), family="poisson")
+
+
+def _figures(spark, m) -> DataFrame:
+    s = m.summary()
+    return _row(spark, deviance=round(m.deviance, 2), null_deviance=round(m.null_deviance, 2), aic=round(m.aic, 2), slope=round(float(s["estimate"].iloc[1]), 5), std_error=round(float(s["std_error"].iloc[1]), 6))
+
+
+_ERROR = "round(sqrt(sum({h}) / (sum({h}) * sum({h} * x * x) - sum({h} * x) ** 2)), 6) AS std_error"
+
+
+@query(_fit_sql(_LOGIT, _LOGIT_MEAN, "h * (1 - h)", 8, "SELECT round(-2 * sum(y * ln(h) + (1 - y) * ln(1 - h)), 2) AS deviance, round(-2 * (sum(y) * ln(avg(y)) + sum(1 - y) * ln(1 - avg(y))), 2) AS null_deviance, round(-2 * sum(y * ln(h) + (1 - y) * ln(1 - h)) + 4, 2) AS aic, round(any_value(b1), 5) AS slope, " + _ERROR.format(h="h * (1 - h)") + " FROM m"))
+def glm_binomial_figures(spark, d):
+    return _figures(spark, _binomial(spark, d))
+
+
+@query(_fit_sql(_COUNT, _COUNT_MEAN, "h", 10, "SELECT round(2 * sum(y * ln(y / h) - (y - h)), 2) AS deviance, round(2 * (sum(y * ln(y)) - sum(y) * ln(avg(y))), 2) AS null_deviance, round(-2 * sum(y * ln(h) - h - lgamma(y + 1)) + 4, 2) AS aic, round(any_value(b1), 5) AS slope, " + _ERROR.format(h="h") + " FROM m"))
+def glm_poisson_figures(spark, d):
+    return _figures(spark, _poisson(spark, d))
+
+
+_KINDS = {"response": "y - h", "pearson": "(y - h) / sqrt(h)", "working": "(y - h) / h", "deviance": "sign(y - h) * sqrt(greatest(0, 2 * (y * ln(y / h) - (y - h))))"}
+
+
+@query(_fit_sql(_COUNT, _COUNT_MEAN, "h", 10, " UNION ALL ".join(f"SELECT '{k}' AS kind, round(sum({e}), 2) + 0.0 AS total, round(sum(({e}) ** 2), 2) AS squares, round(min({e}), 5) AS least, round(max({e}), 5) AS most FROM m" for k, e in _KINDS.items())))
+def glm_fitted_residuals(spark, d):
+    """Residuals of a fitted model, all kinds."""
+    m = _poisson(spark, d)
+    found = []
+    for kind in _KINDS:
+        v = F.col("value")
+        found.append(m.residuals(kind).agg(F.lit(kind).alias("kind"), F.round(F.sum(v), 2).alias("total"), F.round(F.sum(v * v), 2).alias("squares"), F.round(F.min(v), 5).alias("least"), F.round(F.max(v), 5).alias("most")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.withColumn("total", F.col("total") + F.lit(0.0))
+
+
+_WEIGHTED = "SELECT l_linenumber::DOUBLE AS y, l_quantity / 50 AS x, l_linenumber % 3 + 1.0 AS w, l_discount AS o FROM lineitem"
+
+
+def _weighted_sql(steps: int) -> str:
+    out = f"WITH d AS MATERIALIZED ({_WEIGHTED}), b0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1)"
+    for k in range(1, steps + 1):
+        out += f", m{k} AS (SELECT x, y, w, exp(b0 + b1 * x + o) AS h, b0, b1 FROM d, b{k - 1}), s{k} AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, sum(w * (h - y)) AS g0, sum(w * (h - y) * x) AS g1, sum(w * h) AS h00, sum(w * h * x) AS h01, sum(w * h * x * x) AS h11 FROM m{k})"
+        out += f", b{k} AS MATERIALIZED (SELECT b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1 FROM s{k})"
+    return out + f" SELECT round(b0, 5) AS intercept, round(b1, 5) AS slope FROM b{steps}"
+
+
+@query(_weighted_sql(12))
+def glm_weights_and_offset(spark, d):
+    rows = _table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias(RID), F.col("l_linenumber").cast("double").alias("y"), (F.col("l_quantity") / 50).alias("x"), (F.col("l_linenumber") % 3 + 1).cast("double").alias("w"), F.col("l_discount").alias("o"))
+    n = rows.count()
+    column = lambda c: DArray(rows.select(RID, c), Grid((n,), (1,)), [c])
+    b = glm(column("y"), column("x"), family="poisson", weights=column("w"), offset=column("o"), control=Control(epsilon=1e-12, maxit=30)).coefficients
+    return _row(spark, intercept=round(float(b[0]), 5), slope=round(float(b[1]), 5))
+
+
 @query("SELECT rid AS __rid, round(1 / (1 + exp(-(0.5 - 0.001 * b + 0.02 * a))), 8) AS value FROM " + _PARTS)
 def glm_predict_response(spark, d):
     x = _part_array(spark, d)

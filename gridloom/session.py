@@ -34,7 +34,12 @@ def _local(spec: int | str | None = None, **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
-_REGISTRY: dict[str, Callable[..., SparkSession]] = {"spark": _local, "parallel": _local}
+def _fork(cores: int | None = None, **conf) -> SparkSession:
+    """Processes of this machine: all its cores unless a number is given."""
+    return _local(cores or "all", **conf)
+
+
+_REGISTRY: dict[str, Callable[..., SparkSession]] = {"spark": _local, "parallel": _local, "fork": _fork}
 _CURRENT: Driver | None = None
 
 

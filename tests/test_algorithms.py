@@ -182,3 +182,10 @@ def test_forests(spark):
 def test_row_numbers_are_dense_and_ordered(spark):
     got = with_row_index(spark.range(1000).selectExpr("999 - id AS k"), "k").collect()
     assert sorted((r["k"], r["__rid"]) for r in got) == [(k, k + 1) for k in range(1000)]
+
+
+def test_glm_warns_at_the_bounds(spark):
+    x = np.array([[-30.0], [-20.0], [20.0], [30.0]])
+    y = (x > 0).astype(float)
+    with pytest.warns(UserWarning, match="fitted probabilities"):
+        glm(as_darray(y), as_darray(x), family="binomial", start=np.array([0.0, 2.0]), control=glm_control(maxit=1))
