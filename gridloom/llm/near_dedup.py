@@ -328,7 +328,7 @@ def _open(placed: DataFrame) -> DataFrame:
     # most buckets hold one component: partial aggregates tell, whatever the size of a bucket
     found = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     found = materialise(found, "open-buckets")
-    rows = materialise(probably_in(members, "bucket", found, "bucket").join(found, "bucket").select("bucket", "doc_id"), "open-members")
+    rows = materialise(probably_in(members, "bucket", found, "bucket").join(found, "bucket", "left_semi").select("bucket", "doc_id"), "open-members")
     forget(found)
     return rows
 
@@ -413,7 +413,7 @@ def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
     links = _aligned(pairs, texts, threshold)
     forget(least, pairs, several)
 
-    merged, limit, open_ = materialise(components(links), "merged"), 8, None
+    merged, limit, open_ = materialise(components(links), "merged"), 64, None
     while True:
         placed = materialise(_placed(leaders, merged), "placed")
         open_ = _open(placed) if open_ is None else open_  # components only grow: no other bucket opens
