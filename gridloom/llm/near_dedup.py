@@ -340,7 +340,7 @@ def _rest(members: DataFrame, placed: DataFrame, threshold: float, limit: int) -
     a bucket's largest component are compared with the others only.  A row without
     b is a member of a pair that was held back.
     """
-    rows = members.join(placed.select("doc_id", "component"), "doc_id")
+    rows = opened = materialise(members.join(placed.select("doc_id", "component", "n", "counted"), "doc_id"), "open-rows")
     parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     live = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda c: F.ceil(c / F.lit(_BLOCK)).cast("long")
@@ -354,10 +354,10 @@ def _rest(members: DataFrame, placed: DataFrame, threshold: float, limit: int) -
     tops = F.transform(upto("nt"), lambda j: key("top", F.col("block"), j, F.lit(0)))
     from_top = F.transform(upto("nr"), lambda i: key("top", i, F.col("block"), F.lit(1)))
     whole = F.array(key("whole", F.lit(0), F.lit(0), F.lit(0)))
-    dealt = rows.select("doc_id", F.explode(F.when(F.col("whole"), whole).when(is_top, from_top).otherwise(F.concat(others, tops))).alias("t")).select("doc_id", "t.task", "t.side")
-    dealt = dealt.join(placed.select("doc_id", "component", "n", "counted"), "doc_id").repartition("task").sortWithinPartitions("task")
+    dealt = rows.select("doc_id", "component", "n", "counted", F.explode(F.when(F.col("whole"), whole).when(is_top, from_top).otherwise(F.concat(others, tops))).alias("t")).select("doc_id", "component", "n", "counted", "t.task", "t.side")
+    dealt = dealt.repartition("task").sortWithinPartitions("task")
     near = materialise(dealt.mapInArrow(tidied(_may_link(threshold, limit)), "a long, b long").distinct(), "near-pairs")
-    forget(live)
+    forget(live, opened)
     return near
 
 
