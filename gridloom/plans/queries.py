@@ -605,7 +605,7 @@ def kmeans_model(spark, d):
     return labels.join(wss, "label")
 
 
-@query("SELECT true AS best, true AS same")
+@query()
 def kmeans_nstart(spark, d):
     """Of several starts the one with the least sum of squares is kept, and a seed repeats itself."""
     x = _part_array(spark, d)
