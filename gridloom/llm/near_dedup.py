@@ -18,8 +18,9 @@
    sketches and runs) that still holds several components every pair of members
    of different components is compared, in blocks: by length and by counts of
    words, which rule out pairs that cannot link, and the rest by alignment: few
-   for each document, and again more of those still apart until none is held
-   back.  So every similar pair of a bucket ends connected.
+   for each document, and again more of those still apart, whose words are then
+   compared one by one first, until none is held back.  So every similar pair of
+   a bucket ends connected.
 
 A true pair is missed only where every sketch differs: never between texts of at
 most ``short`` words.  Measured on 1,000 pairs each of 31 to 1,000 words, the share
@@ -137,6 +138,7 @@ def runs_of(words: Words, k: int, threshold: float, short: int) -> tuple[np.ndar
 
 _SKETCHED = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64())), ("counted", pa.binary())])
 _BINS = 256  # of words, by hash
+_PARTNERS = 64  # of a document, in each component, that are aligned before the others
 _BLOCK = 4096  # members of a bucket that one group of rows compares with as many others
 
 
@@ -147,6 +149,49 @@ def _counted(words: Words) -> np.ndarray:
     return np.minimum(np.bincount(slot, minlength=n * _BINS), 255).astype(np.uint8).reshape(n, _BINS)
 
 
+def _slots(batches):
+    """The words of each document as slots of 16 bits, those of one word told apart: documents share at most as many words as slots."""
+    for whole in batches:
+        for batch in by_bytes(whole, "text"):
+            words = Words(batch.column("text"))
+            slots = _labelled(words.hashes(), np.repeat(np.arange(len(batch)), words.counts())).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([slots[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary())], names=["doc_id", "slots"])
+
+
+def _share_enough(slots: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """False only where the words that the pair does not share say that more than ``most`` edits part it; pairs in order of left."""
+    size = np.array([len(x) for x in slots])
+    return np.maximum(size[left], size[right]) - _shared(slots, 1 << 16, left, right) <= most
+
+
+def _first_shared(buckets: list[np.ndarray], here: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether a pair shares no bucket before this one: each pair is then looked at in one bucket only; pairs in order of left."""
+    size = np.array([len(x) for x in buckets])
+    row, values = np.repeat(np.arange(len(size)), size), np.concatenate(buckets)
+    before = values < here[row]
+    names, values = np.unique(values[before], return_inverse=True)
+    ends = np.append(0, np.cumsum(np.bincount(row[before], minlength=len(size))))
+    lists = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return _shared(lists, len(names), left, right) == 0
+
+
+def _shared(lists: list[np.ndarray], values: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values, all below ``values``, of the right list the left one holds, for pairs in order of left."""
+    out, mark = np.empty(len(left), np.int64), np.zeros(values, bool)
+    size = np.array([len(x) for x in lists])
+    begin = np.flatnonzero(np.append(True, left[1:] != left[:-1])[: len(left)])
+    for first, end in zip(begin, np.append(begin, len(left))[1:], strict=True):
+        own = lists[left[first]]
+        mark[own] = True
+        for a in range(first, end, 256):
+            others = right[a : min(a + 256, end)]
+            found = np.append(0, np.cumsum(mark[np.concatenate([lists[j] for j in others])]))
+            last = np.cumsum(size[others])
+            out[a : a + len(others)] = found[last] - found[last - size[others]]
+        mark[own] = False
+    return out
+
+
 def _buckets(words: Words, k: int, sketches: int, first: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents of at least ``least`` words and the buckets of their sketches, numbered from ``first``."""
     have, table = sketches_of(words, k, sketches)
@@ -183,7 +228,11 @@ def _sketch(k: int, sketches: int, fine_k: int, fine: int, threshold: float, sho
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Levenshtein distance of two sequences if it is at most ``most``, by furthest-reaching diagonals."""
+    """Levenshtein distance of two sequences if it is at most ``most``.
+
+    Few edits are found by furthest-reaching diagonals, which take time in proportion
+    to the edits; more by columns of bits, in proportion to the words.
+    """
     if abs(len(a) - len(b)) > most:
         return None
     n = min(len(a), len(b))
@@ -197,8 +246,48 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     if not len(a) or not len(b):
         d = max(len(a), len(b))
         return d if d <= most else None
-    if most < 1 or max(len(a), len(b)) - _common(a, b) > most:
+    least = max(len(a), len(b)) - _common(a, b)
+    if most < 1 or least > most:
         return None
+    # a step of the diagonals costs as much as some 40 columns of few words
+    few = max(len(a), len(b)) * (1500 + min(len(a), len(b))) // 60000
+    if least <= few:
+        found = _by_diagonals(a, b, min(most, few))
+        if found is not None or most <= few:
+            return found
+    return _by_columns(a.tolist(), b.tolist(), most)
+
+
+def _by_columns(a: list[int], b: list[int], most: int) -> int | None:
+    """The distance by Myers's bit vectors: a column of the matrix of distances is two whole numbers."""
+    if len(a) > len(b):
+        a, b = b, a
+    at, bit = {}, 1
+    for w in a:
+        at[w] = at.get(w, 0) | bit
+        bit <<= 1
+    whole, last, get = bit - 1, bit >> 1, at.get
+    up, down, d = whole, 0, len(a)
+    left = most + len(b)  # what d may be at most, for one may be saved with each column that is left
+    for w in b:
+        equal = get(w, 0)
+        x = equal | down
+        h = (((equal & up) + up) ^ up) | equal
+        more, less = down | (whole & ~(h | up)), up & h
+        if more & last:
+            d += 1
+        elif less & last:
+            d -= 1
+        left -= 1
+        if d > left:
+            return None
+        more = more << 1 | 1
+        up, down = whole & (less << 1 | ~(x | more)), more & x
+    return d
+
+
+def _by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The distance, if it is at most ``most``, by furthest-reaching diagonals."""
     n, m, chunk = len(a), len(b), 64
     # beyond the ends nothing matches
     x = np.append(a, np.zeros(chunk + 1, U64))
@@ -261,13 +350,16 @@ def _may_link(threshold: float, limit: int):
     """Pairs of one task, of different components, that neither length nor counts of words rule out; tasks are runs of rows.
 
     Of a document's pairs about ``limit`` are given.  The ends of every pair that
-    is held back are given by themselves, with no b.
+    is held back are given by themselves, with no b but the bucket that they share.
     """
 
     def pairs(batch):
         task = batch.column("task").to_numpy()
-        doc, component, n, side = (batch.column(c).to_numpy() for c in ("doc_id", "component", "n", "side"))
+        doc, component, n, bucket, side = (batch.column(c).to_numpy() for c in ("doc_id", "component", "n", "bucket", "side"))
         counted = np.frombuffer(b"".join(batch.column("counted").to_pylist()), np.uint8).reshape(len(batch), _BINS)
+        lists = batch.column("buckets")
+        buckets = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+        slots = [np.frombuffer(x, np.uint16) for x in batch.column("slots").to_pylist()] if "slots" in batch.schema.names else None
         begin = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
         size = np.diff(np.append(begin, len(task)))
         crossed = np.repeat(np.minimum.reduceat(side, begin) != np.maximum.reduceat(side, begin), size)
@@ -282,6 +374,8 @@ def _may_link(threshold: float, limit: int):
             most = ((1 - threshold) * longer + 1e-9).astype(np.int64)
             may = (component[left] != component[right]) & (~crossed[left] | (side[left] != side[right])) & (longer - np.minimum(n[left], n[right]) <= most)
             left, right, most = left[may], right[may], most[may]
+            first = _first_shared(buckets, bucket, left, right)
+            left, right, most = left[first], right[first], most[first]
             close = []
             for k in range(0, len(left), 4096):
                 i, j = left[k : k + 4096], right[k : k + 4096]
@@ -289,7 +383,10 @@ def _may_link(threshold: float, limit: int):
                 bound = np.maximum(np.maximum(more, 0).sum(1, dtype=np.int64), np.maximum(-more, 0).sum(1, dtype=np.int64))
                 close.append(bound <= most[k : k + 4096])
             close = np.concatenate(close) if close else np.zeros(0, bool)
-            left, right = left[close], right[close]
+            left, right, most = left[close], right[close], most[close]
+            if slots is not None:
+                close = _share_enough(slots, left, right, most)
+                left, right = left[close], right[close]
             given = np.arange(len(left))
             for many, of in ((limit, component), (4 * limit, None)):
                 i, j = left[given], right[given]
@@ -299,9 +396,10 @@ def _may_link(threshold: float, limit: int):
                 given = given[x & y if of is not None else x | y]
             back = np.ones(len(left), bool)
             back[given] = False
-            back = np.unique(np.append(doc[left[back]], doc[right[back]]))
+            back = np.unique(np.append(left[back], right[back]))
             i, j = doc[left[given]], doc[right[given]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.minimum(i, j), back)), pa.concat_arrays([pa.array(np.maximum(i, j)), pa.nulls(len(back), pa.int64())])], names=["a", "b"])
+            none = lambda rows: pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.minimum(i, j), doc[back])), pa.concat_arrays([pa.array(np.maximum(i, j)), none(back)]), pa.concat_arrays([none(given), pa.array(bucket[back])])], names=["a", "b", "bucket"])
             at = to
 
     def run(batches):
@@ -323,25 +421,35 @@ def _may_link(threshold: float, limit: int):
 
 
 def _open(placed: DataFrame) -> DataFrame:
-    """bucket, doc_id of the buckets that hold several components."""
+    """doc_id, buckets: of each document those that hold several components, if any."""
     members = placed.select("doc_id", "component", F.explode(F.concat("sketch", "fine")).alias("bucket"))
     # most buckets hold one component: partial aggregates tell, whatever the size of a bucket
     found = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     found = materialise(found, "open-buckets")
-    rows = materialise(probably_in(members, "bucket", found, "bucket").join(found, "bucket", "left_semi").select("bucket", "doc_id"), "open-members")
+    rows = probably_in(members, "bucket", found, "bucket").join(found, "bucket", "left_semi")
+    rows = materialise(_by_document(rows.select("doc_id", "bucket")), "open-members")
     forget(found)
     return rows
 
 
-def _rest(members: DataFrame, placed: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Pairs (a, b) of members that share a bucket, are of different components and may link.
+def _by_document(rows: DataFrame) -> DataFrame:
+    """doc_id, buckets of rows of doc_id, bucket: joins on the id then meet a document once, not once for each bucket."""
+    return rows.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets"))
 
-    Of members: bucket, doc_id; of placed: doc_id, component, n, counted.  Members of
+
+def _rest(members: DataFrame, placed: DataFrame, threshold: float, limit: int, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of members that share a bucket, are of different components and may link; by all their words if given texts.
+
+    Of members: doc_id, buckets; of placed: doc_id, component, n, counted.  Members of
     a bucket's largest component are compared with the others only.  A row without
-    b is a member of a pair that was held back.
+    b is a member of a pair that was held back in the bucket given with it.
     """
-    rows = opened = materialise(members.join(placed.select("doc_id", "component", "n", "counted"), "doc_id"), "open-rows")
-    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    opened, known = members.join(placed.select("doc_id", "component", "n", "counted"), "doc_id"), ["doc_id", "component", "n", "counted", "buckets"]
+    if texts is not None:
+        opened, known = opened.join(_wanted(texts, members).mapInArrow(tidied(_slots), "doc_id long, slots binary"), "doc_id"), [*known, "slots"]
+    opened = materialise(opened, "open-rows")
+    rows = opened.select(*known, F.explode("buckets").alias("bucket"))
+    parts = opened.select("component", F.explode("buckets").alias("bucket")).groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     live = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     blocks = lambda c: F.ceil(c / F.lit(_BLOCK)).cast("long")
     live = materialise(live.select("bucket", F.col("top.component").alias("top"), blocks(F.col("top.size")).alias("nt"), blocks(F.col("size") - F.col("top.size")).alias("nr"), (F.col("size") <= _BLOCK).alias("whole")), "open-sizes")
@@ -354,9 +462,9 @@ def _rest(members: DataFrame, placed: DataFrame, threshold: float, limit: int) -
     tops = F.transform(upto("nt"), lambda j: key("top", F.col("block"), j, F.lit(0)))
     from_top = F.transform(upto("nr"), lambda i: key("top", i, F.col("block"), F.lit(1)))
     whole = F.array(key("whole", F.lit(0), F.lit(0), F.lit(0)))
-    dealt = rows.select("doc_id", "component", "n", "counted", F.explode(F.when(F.col("whole"), whole).when(is_top, from_top).otherwise(F.concat(others, tops))).alias("t")).select("doc_id", "component", "n", "counted", "t.task", "t.side")
+    dealt = rows.select(*known, "bucket", F.explode(F.when(F.col("whole"), whole).when(is_top, from_top).otherwise(F.concat(others, tops))).alias("t")).select(*known, "bucket", "t.task", "t.side")
     dealt = dealt.repartition("task").sortWithinPartitions("task")
-    near = materialise(dealt.mapInArrow(tidied(_may_link(threshold, limit)), "a long, b long").distinct(), "near-pairs")
+    near = materialise(dealt.mapInArrow(tidied(_may_link(threshold, limit)), "a long, b long, bucket long").distinct(), "near-pairs")
     forget(live, opened)
     return near
 
@@ -369,11 +477,15 @@ def _placed(leaders: DataFrame, merged: DataFrame) -> DataFrame:
     return alone.unionByName(met).drop("_probable")
 
 
+def _wanted(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, text of the documents asked for."""
+    return probably_in(texts, "doc_id", asked, "doc_id").join(asked.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that link."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    wanted = probably_in(texts, "doc_id", asked, "doc_id").join(asked.distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    wanted = materialise(wanted, "candidates")  # each text is read once, and shuffled to its pairs
+    wanted = materialise(_wanted(texts, asked), "candidates")  # each text is read once, and shuffled to its pairs
     both = pairs.select("a", "b").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     links = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_verify(threshold)), "a long, b long"), "near-links")
     forget(wanted)
@@ -413,24 +525,23 @@ def near_clusters(docs: DataFrame, id: str = "doc_id", text: str = "text", k: in
     links = _aligned(pairs, texts, threshold)
     forget(least, pairs, several)
 
-    merged, limit, open_ = materialise(components(links), "merged"), 64, None
+    merged, limit, open_ = components(links), _PARTNERS, None
     while True:
         placed = materialise(_placed(leaders, merged), "placed")
-        open_ = _open(placed) if open_ is None else open_  # components only grow: no other bucket opens
-        near = _rest(open_, placed, threshold, limit)
-        back = materialise(near.where("b is null").select(F.col("a").alias("doc_id")), "held-back")
+        again = open_ is not None  # components only grow: no other bucket opens
+        open_ = open_ if again else _open(placed)
+        near = _rest(open_, placed, threshold, limit, texts if again else None)
+        back = materialise(_by_document(near.where("b is null").select(F.col("a").alias("doc_id"), "bucket")), "held-back")
         found = _aligned(near.where("b is not null"), texts, threshold)
-        forget(near, placed)
+        forget(near, placed, open_)
         if not found.isEmpty():
             links = links.union(found)
             forget(merged)
-            merged = materialise(components(links), "merged")
+            merged = components(links)
         if back.isEmpty():
             break
-        before, limit = open_, 32 * limit
-        open_ = materialise(open_.join(back, "doc_id"), "open-members")
-        forget(before, back)
-    forget(open_, leaders)
+        open_, limit = back, 32 * limit
+    forget(back, leaders)
 
     of = known.select("doc_id", "content").join(classes.select("content", "node"), "content").join(merged, "node", "left")
     cluster = of.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("cluster"))

@@ -137,3 +137,76 @@ def test_scattered_edits_at_the_threshold_are_found(docs):
             want[i + 1] = i
     got = {x["doc_id"]: x["cluster_id"] for x in near_clusters(docs(rows)).collect()}
     assert {i: got[i] for i in want} == want
+
+
+@pytest.mark.parametrize("partners", [1, 64])
+def test_open_buckets_cost_a_row_a_document_and_a_look_a_pair(docs, monkeypatch, partners):
+    """Documents that share many buckets are joined by their ids once, and each pair is given once; held back ones are found too."""
+    monkeypatch.setattr(near_dedup, "_PARTNERS", partners, raising=False)
+    tables, write, look = [], near_dedup.materialise, near_dedup._may_link
+
+    def written(df, name):
+        found = write(df, name)
+        tables.append((name, found.count()))
+        return found
+
+    monkeypatch.setattr(near_dedup, "materialise", written)
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    texts = [[f"x{i}_{p}" if p in at else w for p, w in enumerate(base)] for i in range(60) for at in [set(r.sample(range(200), 21 if i < 30 else 45))]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["cluster_id"] for x in near_clusters(docs(rows)).collect()}
+    h = [np.array([hash(w) for w in t]) for t in texts]
+    buckets = np.concatenate([sketches_of(Words(pa.array([t for _, t in rows])), k, n)[1] for k, n in ((5, 16), (3, 40))], axis=1)
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if (buckets[i] == buckets[j]).any() and (h[i] != h[j]).sum() <= 40:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert all(got[i] == got[root[i]] for i in got)
+    assert max(n for name, n in tables if name in ("open-members", "open-rows")) <= 60
+    batches = [pa.RecordBatch.from_pydict({"task": [1, 1, 2, 2], "doc_id": [1, 2, 1, 2], "component": [1, 2, 1, 2], "n": [9] * 4, "bucket": [5, 5, 6, 6], "side": [0] * 4, "counted": [bytes(256)] * 4, "buckets": [[6, 5], [5, 6], [6, 5], [5, 6]]})]
+    batches += [pa.RecordBatch.from_pydict({"task": [3, 3], "doc_id": [1, 3], "component": [1, 1], "n": [9] * 2, "bucket": [7, 7], "side": [0] * 2, "counted": [bytes(256)] * 2, "buckets": [[7], [7]]})]
+    assert [x for b in look(0.8, partners)(batches) for x in b.to_pylist()] == [{"a": 1, "b": 2, "bucket": None}]
+
+
+def test_words_one_by_one_never_rule_out_a_similar_pair():
+    r = random.Random(4)
+    for _ in range(20):
+        vocabulary = [f"w{k}" for k in range(r.choice([3, 30, 3000]))]
+        base = r.choices(vocabulary, k=60)
+        texts = [edited(r, base, r.random() * 0.5, vocabulary) for _ in range(12)] + [[]]
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(13)), "text": [" ".join(t) for t in texts]})
+        slots = [np.frombuffer(x, np.uint16) for b in near_dedup._slots([batch]) for x in b.column("slots").to_pylist()]
+        left, right = (np.array(x) for x in zip(*[(i, j) for i in range(13) for j in range(i + 1, 13)], strict=True))
+        apart = np.array([levenshtein(texts[i], texts[j]) for i, j in zip(left, right, strict=True)])
+        assert near_dedup._share_enough(slots, left, right, apart).all()
+        assert not near_dedup._share_enough(slots, left, right, np.full(len(left), -1)).any()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_columns_of_bits_equal_the_plain_distance(seed):
+    r = random.Random(seed)
+    for _ in range(100):
+        vocabulary = list(range(r.choice([2, 6, 30])))
+        a, b = ([r.choice(vocabulary) for _ in range(r.randint(1, 90))] for _ in range(2))
+        most, d = r.randint(0, 60), levenshtein(a, b)
+        assert near_dedup._by_columns(a, b, most) == (d if d <= most else None)
+
+
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_one_task_and_rounds_find_the_same_components(spark, monkeypatch, small):
+    from gridloom.llm import components
+
+    monkeypatch.setattr(components, "_SMALL", small, raising=False)
+    r = random.Random(9)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(70)] + [(200 + k, 201 + k) for k in range(40)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root[a], root[b]))
+            root = {i: x if v == y else v for i, v in root.items()}
+    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {x["node"]: x["component"] for x in found.collect()} == root
+    assert hasattr(found, "_gridloom_path")
