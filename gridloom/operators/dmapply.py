@@ -8,7 +8,8 @@ Two ways to say what is mapped:
   function runs over Arrow batches of them, after a join by place where there are
   several iterables.  Columns and partitions become rows of (task, argument,
   payload), meet by task in one shuffle, and the function runs once per task on
-  the executors.  A task holds its own arguments only.
+  the executors.  A task holds its own arguments only, and of a column no more
+  than a piece: the function sees a list whose values lie in a file.
 
 Of ``dmapply``'s iterables a whole list gives its items, a frame its columns, an
 array its cells in column-major order, and a list of partitions (or of lists of
@@ -21,6 +22,8 @@ import json
 import pickle
 from collections.abc import Callable
 from functools import reduce
+from itertools import batched, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,7 @@ from gridloom import session
 from gridloom.grid import Grid, split_even
 from gridloom.index import RID
 from gridloom.objects import DArray, DFrame, DList, DObject, SparseArray, Table, WideArray, quoted
+from gridloom.operators.spooled import ColumnValues
 from gridloom.storage import materialise
 
 _ROWS = "task long, arg int, pos int, seq long, payload binary"
@@ -67,8 +71,39 @@ def _same(sizes: set[int]) -> int:
     return n
 
 
+#: Bytes of a payload, unless one row has more: an Arrow batch has 1,024 payloads.
+_PIECE = 1 << 16
+#: Rows of a frame that are together while its columns are packed, as a power of 2.
+_RUN_BITS = 14
+
+
+def _pieces(n: int, dump: Callable[[int, int], bytes]) -> list[tuple[int, bytes]]:
+    """n rows as payloads: the first row and dump(first, end) of each."""
+    whole = dump(0, n)
+    step = max(1, n * _PIECE // len(whole))
+    return [(0, whole)] if step >= n else [(a, dump(a, min(n, a + step))) for a in range(0, n, step)]
+
+
+def _columns(x: DFrame, arg: int) -> DataFrame:
+    """Payloads of a frame's columns, all in one pass.  Rows come in order and no payload crosses a run, so that those of a column follow each other by seq."""
+    named = x.df.select(F.col(RID).alias("seq"), *(quoted(c).alias(f"_{j}") for j, c in enumerate(x.columns, 1)))
+    tasks = range(1, len(x.columns) + 1)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for _, part in batch.groupby(batch["seq"] // (1 << _RUN_BITS)):
+                seq = part["seq"].tolist()
+                for j in tasks:
+                    values = part[f"_{j}"].tolist()
+                    out += [(j, arg, 0, seq[a], piece) for a, piece in _pieces(len(seq), lambda a, b: ColumnValues.packed(values[a:b]))]  # noqa: B023
+            yield pd.DataFrame(out, columns=["task", "arg", "pos", "seq", "payload"])
+
+    return named.repartition(F.shiftright("seq", _RUN_BITS)).sortWithinPartitions("seq").mapInPandas(run, _ROWS)
+
+
 def _pack(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
-    """Rows of a block (task, arg, pos, seq and columns) as one payload for each batch of a block."""
+    """Rows of a block (task, arg, pos, seq and columns) as payloads for each batch of a block."""
 
     def run(batches):
         for batch in batches:
@@ -76,7 +111,8 @@ def _pack(df: DataFrame, kind: str, columns: list[str]) -> DataFrame:
                 seq = part["seq"].to_numpy()
                 values = part[columns].reset_index(drop=True)
                 body = values["value"].tolist() if kind == "list" else np.array(values["row"].tolist(), float) if kind == "wide" else values.to_numpy(float) if kind == "matrix" else values
-                yield pd.DataFrame({"task": [task], "arg": [arg], "pos": [pos], "seq": [int(seq.min())], "payload": [pickle.dumps((seq, body))]})
+                out = _pieces(len(seq), lambda a, b: pickle.dumps((seq[a:b], body[a:b])))  # noqa: B023
+                yield pd.DataFrame({"task": task, "arg": arg, "pos": pos, "seq": [int(seq[a]) for a, _ in out], "payload": [p for _, p in out]})
 
     return df.mapInPandas(run, _ROWS)
 
@@ -145,10 +181,7 @@ def _argument(x, arg: int) -> tuple[int, str, dict, list[DataFrame]]:
         rows = x.df.select(F.col("idx").alias("task"), F.lit(arg).alias("arg"), F.lit(0).cast("long").alias("seq"), F.col("value").alias("payload" if x.pickled else "value"))
         return len(x), "item", {}, [rows]
     if isinstance(x, DFrame):
-        frames = []
-        for j, c in enumerate(x.columns, 1):
-            frames.append(_pack(x.df.select(F.lit(j).cast("long").alias("task"), F.lit(arg).alias("arg"), F.lit(0).alias("pos"), F.col(RID).alias("seq"), quoted(c).alias("value")), "list", ["value"]))
-        return len(x.columns), "column", {}, frames
+        return len(x.columns), "column", {}, [_columns(x, arg)] if x.columns else []
     if isinstance(x, (DArray, SparseArray)):
         n, p = x.dim
         cells = x.coo().select(((F.col("j") - 1) * n + F.col("i")).alias("task"), F.lit(arg).alias("arg"), F.lit(0).cast("long").alias("seq"), F.col("v").alias("value"))
@@ -232,34 +265,43 @@ def dmapply(f: Callable, *args, more_args: dict | None = None, output_type: str
     more = spark.sparkContext.broadcast({k: _whole(k, v) if isinstance(v, DObject) else v for k, v in (more_args or {}).items()})
     kinds, shapes = [g[1] for g in got], [g[2] for g in got]
 
-    def call(part: pd.DataFrame):
-        task = int(part["task"].iloc[0])
-        values = []
-        for a, kind in enumerate(kinds):
-            mine = part[part["arg"] == a]
-            if kind in ("item", "cell"):
-                values.append(pickle.loads(mine["payload"].iloc[0]) if len(mine) else 0.0)
-            elif kind == "column":
-                values.append(_block(("dlist", (0, 0), None), [pickle.loads(x) for x in mine["payload"]]))
-            elif kind == "block":
-                values.append(_block(shapes[a][task], [pickle.loads(x) for x in mine["payload"]]))
-            else:
-                values.append([_block(s, [pickle.loads(x) for x in mine.loc[mine["pos"] == q, "payload"]]) for q, s in enumerate(shapes[a][task])])
-        return task, f(*values, **more.value)
-
-    def result(task: int, value) -> list[tuple]:
+    def argument(a: int, task: int, pieces):
+        """One argument of a task, of its (task, arg, pos, payload) in order."""
+        if kinds[a] in ("item", "cell"):
+            return next((pickle.loads(x) for *_, x in pieces), 0.0)
+        if kinds[a] == "column":
+            return ColumnValues(x for *_, x in pieces)
+        if kinds[a] == "block":
+            return _block(shapes[a][task], [pickle.loads(x) for *_, x in pieces])
+        found = {q: [pickle.loads(x) for *_, x in mine] for q, mine in groupby(pieces, itemgetter(2))}
+        return [_block(s, found.get(q, [])) for q, s in enumerate(shapes[a][task])]
+
+    def result(task: int, value):
         if output_type == "dlist":
-            items = list(value) if combine == "c" and isinstance(value, (list, tuple, np.ndarray)) else [value]
-            rows = [(task, k, len(items), 1, None, pickle.dumps(v.item() if isinstance(v, np.generic) else v)) for k, v in enumerate(items)]
-            return rows or [(task, -1, 0, 1, None, None)]
+            items = value if combine == "c" and isinstance(value, (list, tuple, np.ndarray, ColumnValues)) else [value]
+            if len(items) == 0:
+                yield task, -1, 0, 1, None, None
+            for k, v in enumerate(items):
+                yield task, k, len(items), 1, None, pickle.dumps(v.item() if isinstance(v, np.generic) else v)
+            return
         if output_type in ("darray", "sparse_darray") and isinstance(value, (pd.DataFrame, str)):
             raise TypeError(f"a {type(value).__name__} is no block of an array")
         if output_type != "dframe" and isinstance(value, (int, float, np.number)):
-            return [(task, -1, 1, 1, '[["0", "double"]]', None), (task, 0, 1, 1, None, pickle.dumps((float(value),)))]
+            yield task, -1, 1, 1, '[["0", "double"]]', None
+            yield task, 0, 1, 1, None, pickle.dumps((float(value),))
+            return
         table = _matrix(value)
-        meta = json.dumps([[str(c), _kind_of(t) if output_type == "dframe" else "double"] for c, t in zip(table.columns, table.dtypes, strict=True)])
-        rows = [(task, -1, *table.shape, meta, None)]
-        return rows + [(task, k, *table.shape, None, pickle.dumps(tuple(r))) for k, r in enumerate(table.itertuples(index=False, name=None))]
+        yield task, -1, *table.shape, json.dumps([[str(c), _kind_of(t) if output_type == "dframe" else "double"] for c, t in zip(table.columns, table.dtypes, strict=True)]), None
+        for k, r in enumerate(table.itertuples(index=False, name=None)):
+            yield task, k, *table.shape, None, pickle.dumps(tuple(r))
+
+    def run(batches):
+        rows = ((t, a, q, b["payload"][i].as_py()) for b in batches for i, (t, a, q) in enumerate(zip(*(b[c].to_pylist() for c in ("task", "arg", "pos")), strict=True)))
+        for task, mine in groupby(rows, itemgetter(0)):
+            values = {a: argument(a, task, pieces) for a, pieces in groupby(mine, itemgetter(1)) if a >= 0}
+            value = f(*(values[a] if a in values else argument(a, task, ()) for a in range(len(kinds))), **more.value)
+            for some in batched(result(task, value), 1024):
+                yield _record_batch(some)
 
     if all(kind in ("item", "cell") for kind in kinds):
         results = _by_item(spark, n, kinds, [g[3][0] for g in got], f, more, result)
@@ -267,7 +309,8 @@ def dmapply(f: Callable, *args, more_args: dict | None = None, output_type: str
         every = spark.range(1, n + 1).select(F.col("id").alias("task"), F.lit(-1).alias("arg"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("binary").alias("payload"))
         inputs = [_payload(df) if kind in ("item", "cell") else df for (_, kind, _, frames) in got for df in frames]
         rows = reduce(DataFrame.union, [every, *(df.select("task", "arg", "pos", "seq", "payload") for df in inputs)])
-        results = rows.groupBy("task").applyInPandas(lambda part: pd.DataFrame(result(*call(part)), columns=_NAMES), _RESULT)
+        # Spark sorts, and spills, so that Python has a batch of payloads at a time
+        results = rows.repartition("task").sortWithinPartitions("task", "arg", "pos", "seq").mapInArrow(run, _RESULT)
     # the function runs once: what follows reads its results
     results = materialise(results, "dmapply")
     sizes = split_even(n, total)
@@ -283,7 +326,6 @@ def dmapply(f: Callable, *args, more_args: dict | None = None, output_type: str
     return _stitched(results, n, shape, sizes, output_type, "cbind" if combine in ("default", "c") else combine)
 
 
-_NAMES = [c.split()[0] for c in _RESULT.split(", ")]
 #: Cells or items of a distributed value that may go to every task as one of more_args.
 MOST_SHARED = 50_000_000
 
@@ -316,7 +358,7 @@ def _by_item(spark, n: int, kinds: list[str], frames: list[DataFrame], f: Callab
             items = zip(*(values(c, p) for c, p in zip(columns, pickled, strict=True)), strict=True)
             out = [r for t, row in zip(task.to_pylist(), items, strict=True) for r in result(t, f(*row, **more.value))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _RESULT_ARROW.types, strict=True)], schema=_RESULT_ARROW)
+                yield _record_batch(out)
 
     return rows.mapInArrow(run, _RESULT)
 
@@ -324,6 +366,10 @@ def _by_item(spark, n: int, kinds: list[str], frames: list[DataFrame], f: Callab
 _RESULT_ARROW = pa.schema([("task", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("p", pa.int64()), ("meta", pa.string()), ("payload", pa.binary())])
 
 
+def _record_batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RESULT_ARROW.types, strict=True)], schema=_RESULT_ARROW)
+
+
 def _stitched(results: DataFrame, n: int, shape: tuple[int, int], sizes: list[int], output_type: str, combine: str) -> Table | SparseArray:
     """Blocks of results, a grid of them, as one object; a row meets its pieces by its number."""
     found = {r["task"]: r for r in results.where("pos = -1").select("task", "n", "p", "meta").collect()}

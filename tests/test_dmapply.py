@@ -3,6 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.grid import Grid
+from gridloom.objects import DFrame
 from gridloom.operators import dlapply, dmapply, map_cells, map_columns, map_items
 from gridloom.sources import as_darray, as_dframe, as_dlist, darray, dlist
 
@@ -43,6 +45,55 @@ def test_arrays_give_cells_and_frames_columns(spark):
     assert [r["value"] for r in got.orderBy("j").collect()] == [5, 7]
 
 
+def test_a_column_stays_out_of_memory(spark):
+    class Watched:
+        """The function, which traces memory from before its column arrives."""
+
+        def __setstate__(self, state):
+            import tracemalloc
+
+            tracemalloc.start()
+
+        def __getstate__(self):
+            return {"on": True}
+
+        def __call__(self, c):
+            import tracemalloc
+
+            out = max(c) - min(c) + len(c)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return out, peak
+
+    n = 1_000_000
+    rows = spark.range(1, n + 1).select(F.col("id").alias("__rid"), (F.col("id") * 0.5).alias("a"))
+    (value, peak), = dmapply(Watched(), DFrame(rows, Grid((n,), (1,)), ["a"])).collect()
+    assert value == (n - 1) * 0.5 + n and peak < 16_000_000  # a batch of payloads; a list of the values takes 32 MB
+
+
+def test_a_column_is_in_order_and_does_what_a_list_does(spark):
+    n = 40_000
+    ids = spark.range(1, n + 1).select(F.col("id").alias("__rid"), F.concat(F.lit("v"), "id").alias("a"), F.when(F.col("id") % 3 != 0, F.repeat(F.lit("x"), F.col("id").cast("int") % 500)).alias("b"))
+    frame = DFrame(ids.repartition(7), Grid((n,), (2,)), ["a", "b"])
+    a, b = [f"v{k}" for k in range(1, n + 1)], [None if k % 3 == 0 else "x" * (k % 500) for k in range(1, n + 1)]
+    assert dmapply(lambda c: c, frame).collect() == [a, b]
+    assert dmapply(lambda c: c, frame, combine="c").collect() == a + b
+    pick = lambda c: (len(c), c[17_000], c[-1], c[16_383:16_386], c[::-9_000], list(reversed(c))[:2], c.index(c[5]), len(c + [1]), c == list(c), len(np.array(c)))
+    assert dmapply(pick, frame).collect() == [pick(a), pick(b)]
+
+    def changed(c):
+        c.sort(key=repr)
+        c[0] = "first"
+        c.append(len(c))
+        return c
+
+    assert dmapply(changed, frame).collect() == [changed(list(a)), changed(list(b))]
+    numbers = DFrame(spark.range(1, n + 1).select(F.col("id").alias("__rid"), "id"), Grid((n,), (1,)), ["id"])
+    assert dmapply(lambda c: float(np.mean(c)), numbers).collect() == [(n + 1) / 2]
+    got = dmapply(lambda c: c, numbers, output_type="darray", nparts=1)
+    assert got.dim == (n, 1) and (got.collect()[:, 0] == np.arange(1, n + 1)).all()
+
+
 def test_flattening(spark):
     got = dmapply(lambda v: [v] * v, as_dlist([2, 0, 1]), combine="c")
     assert got.collect() == [2, 2, 1]
