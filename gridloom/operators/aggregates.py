@@ -1,19 +1,21 @@
 """Aggregates over whole objects, columns and rows.
 
 Each returns a DataFrame; partial aggregation runs where the data is, and no
-aggregate of a dense object shuffles more than one row per task.
+aggregate of a dense object shuffles more than one row per task (medians: than
+the counts of a few thousand ranges per column).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import max_of, mean_of, min_of, row_mean_of, row_sum_of, sum_of
 from gridloom.index import RID
 from gridloom.objects import DList, DObject, SparseArray, Table, WideArray
+from gridloom.storage import forget, materialise
 
 
 def _two_dimensional(x: DObject) -> None:
@@ -56,7 +58,64 @@ def col_means(x: DObject, na_rm: bool = False) -> DataFrame:
 
 def col_medians(x: Table) -> DataFrame:
     """j, name, value."""
-    return _by_column(x, F.median, lambda v: _cell(F.median(v)))
+    _two_dimensional(x)
+    found = _lower_medians(x)
+    # of an even number of values the middle two may differ: the upper one is the next value there is
+    found = found.select("j", F.when(F.col("even") & (F.col("k") + 1 >= F.col("n")), F.col("low") * 0.5 + F.col("beyond") * 0.5).otherwise(F.col("low")).alias("value"))
+    if isinstance(x, WideArray):
+        return found.select("j", F.concat(F.lit("c"), F.col("j")).alias("name"), "value")
+    spark = x.df.sparkSession
+    if isinstance(x, SparseArray):
+        every = spark.range(1, x.dim[1] + 1).select(F.col("id").alias("j"), F.concat(F.lit("c"), F.col("id")).alias("name"))
+        return every.join(found.select("j", F.struct("value").alias("_v")), "j", "left").select("j", "name", F.when(F.col("_v").isNull(), F.lit(0.0)).otherwise(F.col("_v.value")).alias("value"))
+    names = [F.struct(F.lit(k).cast("long").alias("j"), F.lit(c).alias("name")) for k, c in enumerate(x.columns, 1)]
+    return spark.range(1).select(F.inline(F.array(*names))).join(F.broadcast(found), "j", "left").select("j", "name", "value")
+
+
+#: Ranges into which a pass cuts what is left of a column.
+_CUTS = 4096
+#: Columns whose ranges go whole to every task.
+_MOST_BROADCAST = 100_000
+
+
+def _lower_medians(x: DObject) -> DataFrame:
+    """j; n values of low to high, all equal, of which the k-th (from 0) is the lower median; even: there is an upper one; beyond: the least value above high.
+
+    A pass counts the values by ranges and keeps the range of the median: first sign
+    and power of 2, then equal parts of what is left, until its values are equal (at
+    most five more passes, as a double has 52 bits below its power).
+    """
+    if isinstance(x, (SparseArray, WideArray)):
+        cells = x.coo()
+    else:
+        cells = x.df.select(F.posexplode(F.array(*x.numbers())).alias("j", "v")).withColumn("j", F.col("j") + F.lit(1).cast("long"))
+    cells = cells.select("j", (F.col("v") + 0.0).alias("v"))  # one zero
+    # rises with v and is NULL or NaN where v is: 3000 is above every power of 2
+    power = F.signum("v") * (F.coalesce(F.floor(F.least(F.log2(F.abs("v")), F.lit(2000.0))), F.lit(0)) + 3000)
+    ranks = _ranges(cells.withColumn("b", power)).withColumn("k", F.expr("(total - 1) div 2"))
+    first = ranks.where("total = 0 or before <= k and k < before + n")
+    found = materialise(first.select("j", (F.col("k") - F.col("before")).alias("k"), "n", "low", "high", "beyond", (F.col("total") % 2 == 0).alias("even")), "medians")
+    spread = F.coalesce(F.col("low") < F.col("high"), F.lit(False))
+    while not found.where(spread).isEmpty():
+        wide = found.where(spread)
+        wide = F.broadcast(wide) if x.dim[1] <= _MOST_BROADCAST else wide
+        inside = cells.join(wide.select("j", "low", "high"), "j").where("v between low and high")
+        ranks = _ranges(inside.select("j", "v", F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * _CUTS).alias("b")))
+        left = wide.select("j", "k", "even", F.col("beyond").alias("_beyond"))
+        here = ranks.join(left, "j").where("before <= k and k < before + n")
+        here = here.select("j", (F.col("k") - F.col("before")).alias("k"), "n", "low", "high", F.coalesce("beyond", "_beyond").alias("beyond"), "even")
+        before, found = found, materialise(found.where(~spread).union(here), "medians")
+        forget(before)
+    return found
+
+
+def _ranges(cells: DataFrame) -> DataFrame:
+    """Of j, v and a range b: per j and b the number of values, how many lie before, their least and greatest, and the least one beyond."""
+    counted = cells.groupBy("j", "b").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    column = Window.partitionBy("j")
+    ranges = column.orderBy("b")
+    before = F.sum("n").over(ranges.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    return counted.select("j", "n", "low", "high", before.alias("before"), F.lead("low").over(ranges).alias("beyond"), F.sum("n").over(column).alias("total"))
 
 
 def _by_row(x: DObject, of, over) -> DataFrame:

@@ -138,6 +138,50 @@ def test_aggregates_equal_the_local_ones(spark, kind):
             index(x, bad, [1])
 
 
+def _shuffled(spark) -> int:
+    """Bytes that all stages so far have written for others."""
+    jvm = spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_medians_shuffle_no_values(spark):
+    n = 600_000
+    rows = spark.range(1, n + 1).select(F.col("id").alias("__rid"), (F.col("id") * 7919 % n).cast("double").alias("a"), F.rand(3).alias("b"))
+    before = _shuffled(spark)
+    got = values(col_medians(objects.DFrame(rows, Grid((n,), (2,)), ["a", "b"])), "j")
+    assert _shuffled(spark) - before < 2_000_000  # the values take 9.6 MB
+    assert got == [(n - 1) / 2, np.median(rows.select("b").toPandas()["b"])]
+
+
+def test_medians_of_odd_columns(spark):
+    inf, nan, rng = float("inf"), float("nan"), np.random.default_rng(5)
+    columns = [
+        [3.0, 1, 2], [1.0, 2, 4, 8], [5.0] * 6, [1.0, 1, 2, 2], [-3.0, -1, -2, 7], [0.0, -0.0, 0.0, 1], [None, 2.0, None, 4], [None, None], [nan, 1.0, 2], [nan, nan, 1.0], [nan, 1.0],
+        [inf, 1.0, inf], [-inf, inf, 1.0, 2], [inf, 1.0], [-inf, -inf, 1.0], [5e-324, 1e-323, 0.0, 1], [1e308, 1.7e308, -1e308, 1.0], [1.7e308, 1.6e308, 1.5e308, 1.4e308], [1.0, 1 + 2**-52, 1 + 2**-51, 1 + 2**-50], [2.0**60 - 2**8, 2.0**60, 2.0**60 + 2**9], [1e-300, 1e300], [-2.5],
+        rng.normal(size=501).tolist(), rng.lognormal(0, 20, 500).tolist(), rng.integers(-9, 9, 400).astype(float).tolist(), rng.uniform(1, 1 + 1e-13, 300).tolist(),
+    ]
+    for some in (columns, columns * 10):  # the second one is wide
+        height = max(map(len, some))
+        rows = [(i + 1, *(float(c[i]) if i < len(c) and c[i] is not None else None for c in some)) for i in range(height)]
+        if len(some) < 200:
+            df = spark.createDataFrame(rows, "__rid long, " + ", ".join(f"c{j} double" for j in range(1, len(some) + 1)))
+            x = objects.DArray(df, Grid((height,), (len(some),)))
+        else:
+            df = spark.createDataFrame([(r[0], list(r[1:])) for r in rows], "__rid long, row array<double>")
+            x = objects.WideArray(df, Grid((height,), (len(some),)))
+        want = [r[0] for r in x.coo().groupBy("j").agg(F.median("v").alias("m")).orderBy("j").select("m").collect()]
+        got = col_medians(x).orderBy("j").collect()
+        assert [r["name"] for r in got] == x.colnames()
+        assert list(map(repr, (r["value"] for r in got))) == list(map(repr, want))
+    sparse = objects.SparseArray(spark.createDataFrame([(1, 1, 5.0), (2, 1, 2.0), (3, 3, None)], "i long, j long, v double"), Grid((4,), (3,)))
+    assert values(col_medians(sparse), "j") == [3.5, 0.0, None]
+    empty = objects.DFrame(spark.createDataFrame([], "__rid long, a double, b int"), Grid((0,), (2,)), ["a", "b"])
+    assert [tuple(r) for r in col_medians(empty).orderBy("j").collect()] == [(1, "a", None), (2, "b", None)]
+
+
 def test_missing_values(spark):
     x = as_darray([[1, 2], [3, 4]])
     x.df = x.df.withColumn("c1", F.when(F.col("__rid") == 1, F.col("c1"))).withColumn("c2", F.when(F.col("__rid") == 2, F.lit(float("nan"))).otherwise(F.col("c2")))
